@@ -10,9 +10,10 @@ Equal sets meet first, so that a class of copies is one row from then on. A pair
 similar as asked shares at least a part ALPHA of the retained values (but for a chance
 below one in a million at k = 48), so it also shares one of the rarest values of each
 side, a prefix of its values in the order of list length; only these are looked up. Lists
-of up to `LIST` classes give their pairs. Longer lists give one link from each class to
-the list's most central class, and afterwards the pairs with classes that this left in
-another component than most of the list: nothing is capped, dropped or sampled.
+of up to `LIST` classes give their pairs. Longer lists give one pair for each class, with
+the list's most central class. Classes that this left in another component than most of
+such a list are then joined with the list's others by an exact prefix join of the full
+sets: nothing is capped, dropped or sampled.
 
 Defined results
 ---------------
@@ -99,7 +100,7 @@ def full_sets(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
 
 def candidates(classes: DataFrame, most: int = LIST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From classes (id, n, sketch): the pairs (a, b) of short lists and of pivots, and the
-    entries (v, id, n) of long lists, of which `later` makes the other pairs."""
+    entries (v, id, n) of long lists, of whose classes `remaining` makes the other pairs."""
     entries = classes.select("id", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     often = cut(entries.groupBy("v").agg(F.count("*").alias("lists")).where("lists > 1"))
     shared = cut(entries.join(often, "v"))
@@ -127,15 +128,44 @@ def _near_in_size():
     return (F.least("na", "nb") * NUM >= F.greatest("na", "nb") * DEN)
 
 
-def later(long: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs from long lists whose classes are in different components by now; each has one class
-    outside the component that most of its list is in."""
-    placed = cut(long.join(found, long.id == found.node, "left").select("v", "id", "n", F.coalesce("component", "id").alias("c")))
+def residual(long: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The classes (id, c) of long lists with their components c by now, and in `rest` whether c isn't
+    the component of most of some list; None if it is for all."""
+    placed = cut(long.join(found, long.id == found.node, "left").select("v", "id", F.coalesce("component", "id").alias("c")))
     main = cut(placed.groupBy("v", "c").agg(F.count("*").alias("x")).groupBy("v").agg(F.max_by("c", F.struct("x", "c")).alias("main")))
-    rest = cut(placed.join(main, "v").where("c <> main").select("v", F.col("id").alias("ra"), F.col("n").alias("na"), F.col("c").alias("ca")))
-    if not rest.take(1):
-        return rest.select(F.col("ra").alias("a"), F.col("ra").alias("b")).limit(0)
-    met = rest.join(placed.withColumnsRenamed({"id": "rb", "n": "nb", "c": "cb"}), "v").where("ca <> cb").where(_near_in_size())
+    rest = cut(placed.join(main, "v").groupBy("id", "c").agg(F.max(F.col("c") != F.col("main")).alias("rest")))
+    return rest if rest.where("rest").take(1) else None
+
+
+def remaining(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components, at least one of the rest, whose full sets
+    (id, shingles) may be similar enough: an exact prefix join.
+
+    A set's shingles are put in order of the number of these sets that hold them. A similar pair
+    shares one among the first quarter of both, at places that leave enough behind them. The
+    sizes that such a place allows are part of the key, so that a long list isn't met whole.
+    """
+    own = sets.join(rest, "id")
+    each = own.select("id", "c", "rest", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    often = cut(each.groupBy("v").agg(F.count("*").alias("lists")).where("lists > 1"))
+    known = each.join(often, "v").groupBy("id", "c", "rest", "n").agg(F.sort_array(F.collect_list(F.struct("lists", "v"))).alias("x"))
+    # What no other set holds comes first: `alone` places that lead nowhere.
+    known = known.withColumn("alone", F.col("n") - F.size("x"))
+    room = F.greatest(F.lit(0), F.floor((F.lit(NUM - DEN) * F.col("n")) / NUM) + 1 - F.col("alone")).cast("int")
+    spots = known.select("id", "c", "rest", "n", "alone", F.posexplode(F.slice("x", 1, room)).alias("i", "x"))
+    spots = cut(spots.select("id", "c", "rest", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("x.v").alias("v")))
+
+    def step(n):
+        return F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
+
+    # Overlaps of a similar pair are at least part * (na + nb), and no more than what is left.
+    part = DEN / (NUM + DEN)
+    smallest, largest = F.col("n") * (DEN / NUM), F.least(F.col("n") * (NUM / DEN), F.col("left") / part - F.col("n"))
+    asks = spots.where("rest").withColumn("most", largest).where(F.col("most") >= smallest - 1e-6)
+    asks = asks.select("v", F.col("id").alias("ra"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"), F.explode(F.sequence(step(F.greatest(F.lit(1.0), smallest - 0.5)), step(F.col("most") + 0.5))).alias("step"))
+    gives = spots.select("v", F.col("id").alias("rb"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), step(F.col("n")).alias("step"))
+    enough = F.least("la", "lb") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * DEN
+    met = asks.join(gives, ["v", "step"]).where("ca <> cb").where(enough)
     return met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
@@ -171,12 +201,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     pairs, stars, long = candidates(classes)
     near = cut(estimated(pairs.union(stars).distinct(), classes))
-    links = cut(verified(near, _sets_of(thin, near, classes)))
+    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    links = cut(verified(near, _sets_of(thin, ends, classes)))
     found = components(links)
-    more = cut(estimated(later(long, found), classes))
-    if more.take(1):
-        links = links.union(cut(verified(more, _sets_of(thin, more, classes))))
-        found = components(links)
+    rest = residual(long, found)
+    if rest is not None:
+        sets = _sets_of(thin, rest, classes)
+        more = cut(verified(remaining(rest, sets), sets))
+        if more.take(1):
+            found = components(links.union(more))
     placed = cut(classes.join(found, classes.id == found.node, "left").select("n", "id", "d2", "first", F.coalesce("component", "id").alias("c")))
     least = cut(placed.groupBy("c").agg(F.min("first").alias("component_id")))
     named = cut(placed.join(least, "c").select(F.col("n").alias("n_shingles"), F.col("id").alias("d1"), "d2", "component_id"))
@@ -186,9 +219,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _sets_of(thin: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, shingles) of the classes on the pairs, read again from the text of each one's first document."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets_of(thin: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, shingles) of the classes named by id, read again from the text of each one's first document."""
     firsts = classes.select("id", "first").join(ids, "id").select("first").distinct()
     wanted = thin.join(firsts, thin.doc_id == firsts["first"]).select("text")
     return cut(full_sets(wanted, "text", []).dropDuplicates(["id"]))
