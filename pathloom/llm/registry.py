@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, near_dedup
+from . import decontaminate, langid, media, near_dedup, pii, quality, secrets, shared, token_counts
 from .shared import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(read(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ("lang",)
+    counted = token_counts.token_lengths(read(spark, sf_dir, "documents"), carry=["lang"])
+    return token_counts.suffix_sums(shared.cut(token_counts.histogram(counted, by)), by)
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.media_columns(read(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -20,10 +38,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"])
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(read(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_token_counts": op2_token_counts,
+    "op4_media_columns": op4_media_columns,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 #: DuckDB's SQL of the queries that SQL can express.
