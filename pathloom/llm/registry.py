@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, near_dedup, passages, pii, quality, secrets, shared, token_counts
+from . import decontaminate, langid, media, mixing, near_dedup, passages, pii, quality, secrets, shared, token_counts
 from .shared import read
 
 
@@ -18,6 +19,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(shared.cut(token_counts.histogram(counted, by)), by)
 
 
+#: Production weights: names without one weigh 0.05 as languages and 1 elsewhere.
+MIX = {
+    "weights": {"domain": {"web": 0.6, "books": 0.4}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}},
+    "other": {"lang": 0.05},
+    "part": 0.9,
+    "epochs": 3,
+    "seed": 3,
+}
+
+
+def domain_of(source: str = "source"):
+    """Sources are told apart as web and books by a hash of their name."""
+    return F.when(F.substring(F.md5(F.coalesce(F.col(source), F.lit(""))), 1, 1) < F.lit("8"), F.lit("web")).otherwise(F.lit("books"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = shared.cut(mixing.with_leaf(read(spark, sf_dir, "documents"), domain_of()))
+    return mixing.mixed(base, **MIX)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(read(spark, sf_dir, "documents"), carry=["doc_id"]))
 
@@ -49,6 +70,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
+    "op3_source_mixing": op3_source_mixing,
     "op4_media_columns": op4_media_columns,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
