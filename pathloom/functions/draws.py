@@ -37,6 +37,6 @@ def categorical(df: DataFrame, by: list[str], weight: str, order: list[str], dra
     low = (F.col("cdf") - F.col(weight)) / F.col("total")
     high = F.col("cdf") / F.col("total")
     asked = df.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    asked = asked.withColumn("u", uniform(seed, *[F.col(c) for c in by], purpose, F.col("draw")))
+    asked = asked.withColumn("__u", uniform(seed, *[F.col(c) for c in by], purpose, F.col("draw")))
     met = asked.join(running.withColumns({"low": low, "high": high}), by)
-    return met.where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).drop("low", "high", "cdf", "total")
+    return met.where((F.col("__u") >= F.col("low")) & (F.col("__u") < F.col("high"))).drop("__u", "low", "high", "cdf", "total")

@@ -18,14 +18,14 @@ def starts_of(table: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select(F.col("u").alias("su"), F.col("v").alias("sv"), F.col("k").alias("sk"), *EDGE, F.array(step).alias("path"), zero.alias("d_start"), zero.alias("d_end"), F.lit(1).alias("n_rows"), F.lit(True).alias("open"))
 
 
-def expand(starts: DataFrame, table: DataFrame, d_max: float, cutoff: int, cut=lambda df: df, all_routes: bool = True) -> DataFrame:
+def expand(starts: DataFrame, table: DataFrame, d_max: float, cutoff: int, cut=DataFrame.persist, all_routes: bool = True) -> DataFrame:
     """All routes from the starts: (su, sv, sk, path, u, v, k, d_start, d_end, n_rows, open).
 
     A route grows by an edge out of its end while it is open, that is, has reached the end of
     its last edge within `d_max` and has fewer rows than `cutoff`. It takes no edge twice and
     no immediate U-turn. d_start is the distance at the start of its last edge, d_end where
     it stops. With `all_routes` every prefix is a route, otherwise only those that use up
-    d_max. The loop is over the number of edges, not over rows; `cut` may materialise each round.
+    d_max. The loop is over the number of edges, not over rows; `cut` keeps each round.
     """
     next_ = table.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("k").alias("nk"), F.col("length").alias("nl"))
     level, out = starts, starts
@@ -61,10 +61,10 @@ def overshoot(positions: DataFrame, routes: DataFrame, table: DataFrame) -> Data
     return joined.withColumn("d_start", F.when(F.col("n_rows") > 1, F.col("d_start") + rest).otherwise(F.lit(0.0))).withColumn("d_end", F.col("d_end") + rest)
 
 
-def extended(routes: DataFrame, table: DataFrame, more: float, d_max: float, cutoff: int, cut=lambda df: df) -> DataFrame:
+def extended(routes: DataFrame, table: DataFrame, more: float, d_max: float, cutoff: int, cut=DataFrame.persist) -> DataFrame:
     """Routes that used up d_max, carried on for `more` metres."""
     lengths = table.select(*EDGE, "length")
     joined = routes.where(F.col("d_end") >= d_max).join(lengths, EDGE)
     end = F.least(F.col("d_start") + F.col("length"), F.lit(float(d_max + more)))
     reopened = joined.withColumn("open", (F.col("d_start") + F.col("length") <= d_max + more) & (F.col("n_rows") < cutoff)).withColumn("d_end", end).select(routes.columns)
-    return expand(reopened, table, d_max + more, cutoff, cut)
+    return expand(reopened, table, d_max + more, cutoff, cut).dropDuplicates(["path"])
