@@ -515,7 +515,7 @@ def a18(spark, sf_dir):
     return analytics.histogram(analytics.movements(tracks(fixture(spark, sf_dir))), [], "line", 0.0, 100.0, 40)
 
 
-@query("a15_total_variation", wp("SELECT traj_id, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tv FROM (SELECT traj_id, bin, count(*) / sum(count(*)) OVER (PARTITION BY traj_id) AS p FROM binned WHERE particle_id = 0 GROUP BY ALL) FULL JOIN (SELECT traj_id, bin, count(*) / sum(count(*)) OVER (PARTITION BY traj_id) AS q FROM binned WHERE particle_id = 1 GROUP BY ALL) USING (traj_id, bin) GROUP BY ALL",
+@query("a15_total_variation", wp("SELECT traj_id, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tv FROM (SELECT traj_id, bin, count(*) / sum(count(*)) OVER (PARTITION BY traj_id) AS p FROM binned WHERE particle_id = 0 GROUP BY traj_id, bin) FULL JOIN (SELECT traj_id, bin, count(*) / sum(count(*)) OVER (PARTITION BY traj_id) AS q FROM binned WHERE particle_id = 1 GROUP BY traj_id, bin) USING (traj_id, bin) GROUP BY ALL",
   "box AS (SELECT traj_id, min(x) AS low, max(x) AS high FROM tracks WHERE particle_id = 0 GROUP BY ALL), binned AS (SELECT traj_id, particle_id, CASE WHEN x < low THEN -1 ELSE least(floor((x - low) / 3), ceil((high - low) / 3)) END AS bin FROM tracks JOIN box USING (traj_id))"))
 def a15(spark, sf_dir):
     rows = tracks(fixture(spark, sf_dir))
@@ -527,7 +527,7 @@ def a16(spark, sf_dir):
     return rounded(analytics.interval_distances(tracks(fixture(spark, sf_dir))), "travelled")
 
 
-@query("a16_interval_total_variation", wp("SELECT interval, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tv FROM (SELECT interval, travelled, count(*) / sum(count(*)) OVER (PARTITION BY interval) AS p FROM iv WHERE particle_id = 0 GROUP BY ALL) FULL JOIN (SELECT interval, travelled, count(*) / sum(count(*)) OVER (PARTITION BY interval) AS q FROM iv WHERE particle_id = 1 GROUP BY ALL) USING (interval, travelled) GROUP BY ALL",
+@query("a16_interval_total_variation", wp("SELECT interval, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tv FROM (SELECT interval, travelled, count(*) / sum(count(*)) OVER (PARTITION BY interval) AS p FROM iv WHERE particle_id = 0 GROUP BY interval, travelled) FULL JOIN (SELECT interval, travelled, count(*) / sum(count(*)) OVER (PARTITION BY interval) AS q FROM iv WHERE particle_id = 1 GROUP BY interval, travelled) USING (interval, travelled) GROUP BY ALL",
   "iv AS (SELECT traj_id, particle_id, CAST(ceil(t / 60) - 1 AS INT) AS interval, sum(d) AS travelled FROM tracks WHERE t > 0 GROUP BY ALL)"))
 def a16tv(spark, sf_dir):
     rows = analytics.interval_distances(tracks(fixture(spark, sf_dir)))
