@@ -2,7 +2,8 @@
 
 Each document's set of word shingles is kept as its k smallest hashes. Inverted lists of
 the retained values generate pairs, the sketch of the union estimates their Jaccard
-similarity, and the full sets decide. Links give components.
+similarity, and the full sets decide, first for each class's likeliest pair and then for
+the pairs that are still in different components. Links give components.
 
 Sizes
 -----
@@ -11,7 +12,7 @@ similar as asked shares at least a part ALPHA of the retained values (but for a
 below one in a million at k = 48), so it also shares one of the rarest values of each
 side, a prefix of its values in the order of list length; only these are looked up. Lists
 of up to `LIST` classes give their pairs. Longer lists give one pair for each class, with
-the list's most central class. Classes that this left in another component than most of
+the list's most central class, whose own values are in the longest lists. Classes that this left in another component than most of
 such a list are then joined with the list's others by an exact prefix join of the full
 sets: nothing is capped, dropped or sampled.
 
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .shared import components, cut
+from .shared import components, cut, drop
 
-SHINGLE, SKETCH, LIST, ALPHA = 5, 48, 64, 0.4
+SHINGLE, SKETCH, LIST, ALPHA = 5, 48, 16, 0.4
 #: Similarity asked for, as a fraction: NUM * size of the intersection >= DEN * size of the union.
 NUM, DEN = 100, 75
 #: Estimates from sketches must come this near the similarity asked for (five standard deviations).
@@ -101,23 +102,27 @@ def full_sets(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
 def candidates(classes: DataFrame, most: int = LIST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From classes (id, n, sketch): the pairs (a, b) of short lists and of pivots, and the
     entries (v, id, n) of long lists, of whose classes `remaining` makes the other pairs."""
-    entries = classes.select("id", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+    entries = classes.select("id", F.explode("sketch").alias("v"))
     often = cut(entries.groupBy("v").agg(F.count("*").alias("lists")).where("lists > 1"))
-    shared = cut(entries.join(often, "v"))
+    many = cut(entries.join(often, "v"))
+    shared = many.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lists", "v"))).alias("x"))
+    kept = F.least(F.col("n"), F.lit(SKETCH))
     # Values of one list only fill the rarest places of a class's prefix but lead nowhere.
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct("lists", "v"))), 1, F.greatest(F.lit(0), F.count("*") - F.ceil(F.first("kept") * ALPHA) + 1).cast("int"))
-    prefix = shared.groupBy("id").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.count("*").alias("many"), rarest.alias("rarest"))
-    prefix = cut(prefix.select("id", "n", "many", F.explode("rarest.v").alias("v")))
+    room = F.greatest(F.lit(0), F.size("x") - F.ceil(kept * ALPHA) + 1).cast("int")
+    prefix = classes.select("id", "n").join(shared, "id")
+    prefix = cut(prefix.select("id", "n", F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x["lists"]).alias("central"), F.explode(F.slice("x", 1, room).v).alias("v")))
+    drop(often, many)
     sizes = cut(prefix.groupBy("v").agg(F.count("*").alias("members")).where("members > 1"))
     sized = cut(prefix.join(sizes, "v"))
+    drop(prefix, sizes)
 
     short = sized.where(F.col("members") <= most).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
     first = short.select(F.posexplode("m").alias("i", "x"), "m")
     pairs = first.select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
     pairs = pairs.select("a", F.col("y.id").alias("b"), "na", F.col("y.n").alias("nb"))
 
-    long = sized.where(F.col("members") > most).select("v", "id", "n", "many")
-    pivot = cut(long.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("many", "id")).alias("p")))
+    long = sized.where(F.col("members") > most).select("v", "id", "n", "central")
+    pivot = cut(long.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("central", "id")).alias("p")))
     stars = long.join(pivot, "v").where("id <> p.id")
     stars = stars.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
     return pairs.where(_near_in_size()).select("a", "b"), stars.where(_near_in_size()).select("a", "b"), long
@@ -170,12 +175,27 @@ def remaining(rest: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int = SKETCH) -> DataFrame:
-    """The pairs whose union's sketch, the k smallest values of both, has a large enough part in both."""
+    """The pairs whose union's sketch, the k smallest values of both, has a large enough part in both;
+    that part is `e`."""
     own = classes.select("id", "sketch")
     both = pairs.join(own.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
     union = F.slice(F.sort_array(F.transform(F.array_union("sa", "sb"), _unsigned)), 1, k)
     common = F.size(F.array_intersect(union, F.transform(F.array_intersect("sa", "sb"), _unsigned)))
-    return both.where(common >= ESTIMATE * F.size(union)).select("a", "b")
+    return both.select("a", "b", (common / F.size(union)).alias("e")).where(F.col("e") >= ESTIMATE)
+
+
+def most_likely(near: DataFrame) -> DataFrame:
+    """Of the estimated pairs the likeliest of each class."""
+    ends = near.select(F.col("a").alias("id"), "a", "b", "e").union(near.select(F.col("b").alias("id"), "a", "b", "e"))
+    best = ends.groupBy("id").agg(F.max(F.struct("e", "a", "b")).alias("x"))
+    return best.select("x.a", "x.b").distinct()
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    ca, cb = found.toDF("a", "ca"), found.toDF("b", "cb")
+    placed = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return placed.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _unsigned(x):
@@ -190,6 +210,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * NUM >= (F.size("sa") + F.size("sb") - common) * DEN).select("a", "b")
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components once more links (a, b) are known: of the links only those between components count."""
+    ca, cb = found.toDF("a", "ca"), found.toDF("b", "cb")
+    ends = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(ends.where("a <> b").distinct())
+    old = found.join(over.toDF("component", "next"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return cut(old.union(over.join(found.select("node"), "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links, itself included), kept (doc_id = component_id)."""
@@ -202,14 +231,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs, stars, long = candidates(classes)
     near = cut(estimated(pairs.union(stars).distinct(), classes))
     ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    links = cut(verified(near, _sets_of(thin, ends, classes)))
+    sets = _sets_of(thin, ends, classes)
+    links = cut(verified(most_likely(near), sets))
     found = components(links)
+    # A link within a component changes nothing: only the other pairs are left to verify.
+    more = cut(verified(apart(near, found), sets))
+    drop(near, sets)
+    if more.take(1):
+        found = merged(found, more)
     rest = residual(long, found)
     if rest is not None:
         sets = _sets_of(thin, rest, classes)
         more = cut(verified(remaining(rest, sets), sets))
         if more.take(1):
-            found = components(links.union(more))
+            found = merged(found, more)
     placed = cut(classes.join(found, classes.id == found.node, "left").select("n", "id", "d2", "first", F.coalesce("component", "id").alias("c")))
     least = cut(placed.groupBy("c").agg(F.min("first").alias("component_id")))
     named = cut(placed.join(least, "c").select(F.col("n").alias("n_shingles"), F.col("id").alias("d1"), "d2", "component_id"))

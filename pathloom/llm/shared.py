@@ -2,21 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Scratch tables that weren't dropped; they go when the application ends.
+_KEPT: dict[str, SparkSession] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that the session names in spark.checkpoint.dir.
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, shared by the driver and all executors.
 
     Only where the setting is absent, as in local tests, a temporary folder takes its place.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written as a table in the scratch folder and read again: a plan without history,
+    which a lost executor can't take away, and whose size the planner knows."""
+    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _KEPT[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by `cut` of which nothing will be read any more."""
+    for table in tables:
+        _delete(table.__dict__["_scratch"], table.sparkSession)
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    _KEPT.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_KEPT.items()):
+        if spark.sparkContext._jsc is not None:
+            try:
+                _delete(path, spark)
+            except Exception:  # the JVM may have ended before
+                return
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,18 +69,28 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node on an edge; component is the smallest node reachable.
 
-    Labels travel along the edges and then jump to their label's label, so that long
-    chains take a logarithmic number of rounds. A round is a join and a sum with
-    partial aggregation, so a node with very many links isn't gathered in one task.
+    Each round hooks every node on its neighbour of the smallest hash, follows two more
+    hooks, and draws the edges between what is left, about a third of the nodes; a chain
+    of any length takes a logarithmic number of rounds. A round is made of joins and sums
+    with partial aggregation, so a node with very many links isn't gathered in one task.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")))
-    while True:
-        told = both.join(label.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("told"))
-        near = label.join(told, "node").select("node", F.least("label", "told").alias("next"), F.col("label").alias("was"))
-        far = label.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        new = cut(near.join(far, "next").select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") < F.col("was")).alias("moved")))
-        label = new.select("node", "label")
-        if not new.where("moved").take(1):
-            return label.select("node", F.col("label").alias("component"))
+    one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    left = cut(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    roots = cut(edges.select(F.explode(F.array(a, b)).alias("node")).distinct().select("node", F.col("node").alias("root")))
+    while left.take(1):
+        least = F.min(F.struct(F.xxhash64("v").alias("h"), "v"))
+        hooks = left.groupBy("u").agg(F.least(least, F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v")))["v"].alias("to"))
+        hooks = cut(hooks)
+        for _ in range(2):
+            further = cut(hooks.join(hooks.select(F.col("u").alias("to"), F.col("to").alias("next")), "to").select("u", F.col("next").alias("to")))
+            drop(hooks)
+            hooks = further
+        new_roots = cut(roots.join(hooks, roots.root == hooks.u, "left").select("node", F.coalesce("to", "root").alias("root")))
+        ends = left.join(hooks.withColumnRenamed("to", "tu"), "u").join(hooks.select(F.col("u").alias("v"), F.col("to").alias("tv")), "v")
+        rest = cut(ends.where("tu <> tv").select(F.col("tu").alias("u"), F.col("tv").alias("v")).distinct())
+        drop(left, roots, hooks)
+        left, roots = rest, new_roots
+    least = cut(roots.groupBy("root").agg(F.min("node").alias("component")))
+    out = cut(roots.join(least, "root").select("node", "component"))
+    drop(left, roots, least)
+    return out
