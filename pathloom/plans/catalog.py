@@ -572,3 +572,39 @@ def g21(spark, sf_dir):
     f = fixture(spark, sf_dir)
     _, trace = learning.offline_em(timed(f), f.table, MODEL, iterations=1, particles=10, scale=1e-5, refine=fixtures.REFINE)
     return spark.createDataFrame(trace)
+
+
+@query("s10_sampled_routes")
+def s10(spark, sf_dir):
+    from pathloom.plans import simulate
+
+    return simulate.sampled_routes(fixture(spark, sf_dir).table, 200, 20, MODEL, seed=1, refine=fixtures.REFINE).drop("route")
+
+
+@query("s11_trajectory_lengths", w("SELECT traj_id, count(*) AS n FROM obs GROUP BY ALL HAVING count(*) BETWEEN 20 AND 60"))
+def s11(spark, sf_dir):
+    points = fixture(spark, sf_dir).obs.groupBy("traj_id").agg(F.collect_list(F.array("x", "y")).alias("POLYLINE"))
+    return trips.of_length(points).select("traj_id", F.size("POLYLINE").cast("long").alias("n"))
+
+
+@query("a20_distinct_places", w("SELECT traj_id, count(DISTINCT u || '-' || v || '-' || k || '-' || grid_idx) AS n FROM particles GROUP BY ALL", True))
+def a20(spark, sf_dir):
+    return fixture(spark, sf_dir).particles.groupBy("traj_id").agg(F.count_distinct(*EDGE, "grid_idx").alias("n"))
+
+
+@query("a19_runtime_per_observation", "SELECT event_type, round(avg(CAST(event_id % 7 + 1 AS DOUBLE) / (event_id % 3 + 1)), 6) AS seconds FROM events GROUP BY ALL")
+def a19(spark, sf_dir):
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("event_id") % 7 + 1).cast("double").alias("time"), (F.col("event_id") % 3 + 1).alias("n_obs"))
+    return rounded(analytics.runtime_per_observation(runs, ["event_type"]), "seconds")
+
+
+@query("w6_window_of_observations", w("SELECT traj_id, obs_idx, min(x) OVER g AS low, max(x) OVER g AS high, count(*) OVER g AS n FROM obs WINDOW g AS (PARTITION BY traj_id ORDER BY obs_idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"))
+def w6(spark, sf_dir):
+    last = W.partitionBy("traj_id").orderBy("obs_idx").rowsBetween(-3, 0)
+    return fixture(spark, sf_dir).obs.select("traj_id", "obs_idx", F.min("x").over(last).alias("low"), F.max("x").over(last).alias("high"), F.count("*").over(last).alias("n"))
+
+
+@query("q_retried_particles", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT traj_id, particle_id FROM prior2 GROUP BY ALL HAVING sum(gamma*dev*lik) > 1e-100 AND sum(CASE WHEN d > 270 THEN gamma*dev*lik ELSE 0 END) > 0.1 * sum(gamma*dev*lik) AND max(d) > 270")
+def q7(spark, sf_dir):
+    sums = proposal.totals(proposal_rows(fixture(spark, sf_dir)), 300.0)
+    return proposal.retried(sums, 300.0).select("traj_id", "particle_id")

@@ -112,3 +112,20 @@ def test_utm(spark):
 def test_model_bounds():
     low, high = ExponentialMapMatchingModel.bounds()["zero_dist_prob_neg_exponent"]
     assert low == pytest.approx(-math.log(0.5) / 15) and high == pytest.approx(-math.log(0.01) / 15)
+
+
+def test_sampled_routes_hold_together_and_are_matched(spark, table):
+    from pathloom.plans import simulate
+
+    out = simulate.sampled_routes(table, 4, 6, MODEL, [0, 10, 20, 35, 50, 60], seed=3, refine=5.0, starts={0: (0, 1, 0, 0.5)}).persist()
+    rows = {(r["traj_id"], r["obs_idx"]): r for r in out.collect()}
+    assert len(rows) == 24 and rows[0, 0]["u"] == 0 and rows[0, 0]["alpha"] == pytest.approx(0.5)
+    for (traj, i), r in rows.items():
+        edges = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in r["route"]]
+        assert all(a[1] == b[0] for a, b in zip(edges, edges[1:])) and edges[-1] == (r["u"], r["v"], r["k"])
+        if i:
+            assert edges[0][:2] == (rows[traj, i - 1]["u"], rows[traj, i - 1]["v"])
+    found = matching.offline_map_match(out.select("traj_id", "obs_idx", "t", "dt", "x", "y"), table, MODEL, particles=40, refine=5.0, reach=60.0)
+    assert found.where("status = 'OK'").select("traj_id").distinct().count() == 4
+    with pytest.raises(ValueError):
+        simulate.sampled_routes(table, 1, 6, MODEL, [1.0, 2.0])
