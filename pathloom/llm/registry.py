@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, mixing, near_dedup, passages, pii, quality, secrets, shared, token_counts
+from . import decontaminate, langid, media, mixing, near_dedup, oracles, passages, pii, quality, secrets, shared, token_counts
 from .shared import read
 
 
@@ -81,4 +81,8 @@ QUERIES = {
 }
 
 #: DuckDB's SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_source_mixing": oracles.mixing(MIX),
+    "op8_minhash_near_dedup": oracles.NEAR,
+    "op9_decontamination": oracles.CONTAMINATION,
+}
