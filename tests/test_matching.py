@@ -129,3 +129,14 @@ def test_sampled_routes_hold_together_and_are_matched(spark, table):
     assert found.where("status = 'OK'").select("traj_id").distinct().count() == 4
     with pytest.raises(ValueError):
         simulate.sampled_routes(table, 1, 6, MODEL, [1.0, 2.0])
+
+
+def test_paths_sink(spark, table, obs, tmp_path):
+    from pathloom.sources import sinks
+
+    out = matching.offline_map_match(obs, table, MODEL, particles=3, refine=5.0)
+    sinks.write_paths(out, str(tmp_path / "paths"), buckets=4)
+    assert sinks.read_paths(spark, str(tmp_path / "paths"), buckets=4).count() == out.count()
+    some = sinks.read_paths(spark, str(tmp_path / "paths"), [1], buckets=4)
+    assert {r["traj_id"] for r in some.collect()} == {1}
+    sinks.clear_caches(spark)
