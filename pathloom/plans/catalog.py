@@ -510,9 +510,9 @@ def k4(spark, sf_dir):
     return out.select("traj_id", r6("l.low").alias("low"), r6("l.high").alias("high"))
 
 
-@query("a18_distance_histogram", wp("SELECT bin, count(*) AS n FROM (SELECT least(39, CAST(floor(line / 2.5) AS INT)) AS bin FROM (SELECT sqrt((x-lag(x) OVER o)*(x-lag(x) OVER o) + (y-lag(y) OVER o)*(y-lag(y) OVER o)) AS line FROM tracks WINDOW o AS (PARTITION BY traj_id, particle_id ORDER BY obs_idx)) WHERE line BETWEEN 0 AND 100) GROUP BY ALL"))
+@query("a18_distance_histogram", wp("SELECT bin, count(*) AS n FROM (SELECT least(39, CAST(floor(line / 2.5) AS INT)) AS bin FROM (SELECT round(sqrt((x-lag(x) OVER o)*(x-lag(x) OVER o) + (y-lag(y) OVER o)*(y-lag(y) OVER o)), 6) AS line FROM tracks WINDOW o AS (PARTITION BY traj_id, particle_id ORDER BY obs_idx)) WHERE line BETWEEN 0 AND 100) GROUP BY ALL"))
 def a18(spark, sf_dir):
-    return analytics.histogram(analytics.movements(tracks(fixture(spark, sf_dir))), [], "line", 0.0, 100.0, 40)
+    return analytics.histogram(rounded(analytics.movements(tracks(fixture(spark, sf_dir))), "line"), [], "line", 0.0, 100.0, 40)
 
 
 @query("a15_total_variation", wp("SELECT traj_id, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tv FROM (SELECT traj_id, bin, count(*) / sum(count(*)) OVER (PARTITION BY traj_id) AS p FROM binned WHERE particle_id = 0 GROUP BY traj_id, bin) FULL JOIN (SELECT traj_id, bin, count(*) / sum(count(*)) OVER (PARTITION BY traj_id) AS q FROM binned WHERE particle_id = 1 GROUP BY traj_id, bin) USING (traj_id, bin) GROUP BY ALL",
