@@ -92,7 +92,9 @@ def map_text(
     made = T.StructType.fromDDL(schema)
     names = {f.name.lower() for f in made}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in names]
-    given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    carried = text in kept and df.schema[text].dataType == T.StringType()
+    name = text if carried else "__text"
+    given = df.select(*[F.col(f"`{c}`") for c in kept], *([] if carried else [F.col(f"`{text}`").cast("string").alias(name)]))
     out = T.StructType([given.schema[c] for c in kept] + list(made))
 
     def run(batches):
@@ -101,10 +103,10 @@ def map_text(
         arrow = to_arrow_schema(made)
         work = setup()
         for batch in batches:
-            for part in chunks(batch, "__text", most):
+            for part in chunks(batch, name, most):
                 if not part.num_rows:
                     continue
-                got = work(Texts(part.column("__text")))
+                got = work(Texts(part.column(name)))
                 columns = [part.column(i) for i in range(len(kept))]
                 columns += [_array(got[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *[f.name for f in made]])
