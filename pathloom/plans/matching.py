@@ -53,7 +53,9 @@ def per_trajectory(obs: DataFrame, table: DataFrame, work: Callable, schema: str
         def run(pdf):
             return work(network(pd.DataFrame(edges), refine, key), pdf.sort_values("obs_idx"))
 
-        return obs.groupBy("traj_id").applyInPandas(run, schema)
+        # Observations are few bytes but much work: a stated number of partitions isn't coalesced by size.
+        parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return obs.repartition(parts, "traj_id").groupBy("traj_id").applyInPandas(run, schema)
     near = edges_near(obs, table, model)
 
     def both(pdf, edges):
