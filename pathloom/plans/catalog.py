@@ -1,7 +1,9 @@
 """The queries of the map-matching operators, and their equivalents in DuckDB's SQL.
 
-Every query runs over all events (or the whole network). Doubles are compared at six
-decimals, as engines add in different orders.
+Every query runs over all events (or the whole network), but for s2_edge_geometry,
+g1_possible_routes, g1_full_length_routes and g4_extended_routes, whose SQL starts from some edges
+only: the queries ending in _of_all do the same from all edges. Doubles are compared at six decimals, as
+engines add in different orders.
 """
 
 from __future__ import annotations
@@ -70,6 +72,12 @@ def s2(spark, sf_dir):
     return plain(network.edge_geometry(f.table, f.edges.where("u % 7 = 3").select(*EDGE)))
 
 
+@query("s2_edge_geometry_of_all", w(PLAIN_SQL))
+def s2_all(spark, sf_dir):
+    f = fixture(spark, sf_dir)
+    return plain(network.edge_geometry(f.table, f.edges.select(*EDGE)))
+
+
 @query("s3_edge_lengths_of_candidates", w("SELECT u, v, k, count(*) AS n, round(sum(length), 6) AS total FROM near_edge_ok JOIN et USING (u, v, k) GROUP BY ALL", True))
 def s3(spark, sf_dir):
     f = fixture(spark, sf_dir)
@@ -267,6 +275,36 @@ def g4(spark, sf_dir):
     return rounded(more.withColumn("path", routes.route_id(F.col("path"))), "d_start", "d_end").select("path", "d_start", "d_end")
 
 
+@query("g1_possible_routes_of_all")
+def g1_all(spark, sf_dir):
+    f = fixture(spark, sf_dir)
+    return told(route_table(f, f.edges, 300.0))
+
+
+@query("g1_full_length_routes_of_all")
+def g1f_all(spark, sf_dir):
+    f = fixture(spark, sf_dir)
+    return full_length(f, 300.0)
+
+
+@query("g4_extended_routes_of_all")
+def g4_all(spark, sf_dir):
+    f = fixture(spark, sf_dir)
+    return longer(f, 300.0, 100.0)
+
+
+def full_length(f, d_max: float) -> DataFrame:
+    """From each edge of the network the number of routes that use up d_max."""
+    found = routes.expand(routes.starts_of(f.table, f.edges), f.table, d_max, 10, all_routes=False)
+    return found.groupBy("su", "sv", "sk").agg(F.count("*").alias("n"))
+
+
+def longer(f, d_max: float, more: float) -> DataFrame:
+    """The routes from each edge of the network that use up d_max, carried on."""
+    out = routes.extended(route_table(f, f.edges, d_max), f.table, more, d_max, 10)
+    return rounded(out.withColumn("path", routes.route_id(F.col("path"))), "d_start", "d_end").select("path", "d_start", "d_end")
+
+
 _FIRST = "firsts AS (SELECT * FROM particles WHERE obs_idx = 0)"
 _CANDIDATES = f"""
 {_FIRST},
