@@ -2,7 +2,8 @@
 
 Every query runs over all events (or the whole network), but for s2_edge_geometry,
 g1_possible_routes, g1_full_length_routes and g4_extended_routes, whose SQL starts from some edges
-only: the queries ending in _of_all do the same from all edges. Doubles are compared at six decimals, as
+only, and those that propose particles, whose SQL takes each trajectory's first transition: the
+queries ending in _of_all do the same from all edges and for all transitions. Doubles are compared at six decimals, as
 engines add in different orders.
 """
 
@@ -357,6 +358,52 @@ def g6(spark, sf_dir):
     return rounded(proposal.proposed(proposal_rows(fixture(spark, sf_dir)), 17), "d").select("traj_id", "particle_id", *EDGE, "grid_idx", "route_id", "d")
 
 
+#: Room for a trajectory's observations in the key of a step.
+STEPS = 1 << 20
+
+
+def all_proposal_rows(f, gradients: bool = False) -> DataFrame:
+    """Candidates of every observation's particles for the next observation, weighted; traj_id is the key of the step."""
+    key = F.col("traj_id") * STEPS + F.col("obs_idx")
+    later = f.obs.where("obs_idx > 0").withColumn("traj_id", key - 1)
+    held = f.particles.withColumn("traj_id", key).join(later.select("traj_id"), "traj_id", "left_semi")
+    found = proposal.candidates(held, route_table(f, f.edges, 300.0), f.table, f.grid, 300.0, fixtures.REFINE)
+    return proposal.weighted(found, later, MODEL, DT, gradients)
+
+
+def by_step(df: DataFrame, *names) -> DataFrame:
+    """The columns named, with the step's key as traj_id and obs_idx (of the particles, not of the next observation)."""
+    key = F.col("traj_id")
+    return df.select(F.shiftright(key, 20).alias("traj_id"), key.bitwiseAND(F.lit(STEPS - 1)).alias("obs_idx"), "particle_id", *names)
+
+
+@query("g5_proposal_totals_of_all")
+def g5_all(spark, sf_dir):
+    sums = proposal.totals(all_proposal_rows(fixture(spark, sf_dir)), 300.0)
+    return by_step(rounded(sums, "z", "weight", "max_d"), "z", "weight", "max_d", "n_candidates")
+
+
+@query("a4_far_mass_of_all")
+def a4_all(spark, sf_dir):
+    return by_step(rounded(proposal.totals(all_proposal_rows(fixture(spark, sf_dir)), 300.0), "far_ratio"), "far_ratio")
+
+
+@query("a5_gradient_totals_of_all")
+def a5_all(spark, sf_dir):
+    sums = proposal.totals(all_proposal_rows(fixture(spark, sf_dir), True), 300.0, True)
+    return by_step(sums, r6("z_d_zero_dist_prob_neg_exponent").alias("g_r0"), r6("z_d_lambda_speed").alias("g_lambda"), r6("z_d_deviation_beta").alias("g_beta"))
+
+
+@query("g6_proposed_particles_of_all")
+def g6_all(spark, sf_dir):
+    return by_step(rounded(proposal.proposed(all_proposal_rows(fixture(spark, sf_dir)), 17), "d"), *EDGE, "grid_idx", "route_id", "d")
+
+
+@query("q_retried_particles_of_all")
+def q7_all(spark, sf_dir):
+    return by_step(proposal.retried(proposal.totals(all_proposal_rows(fixture(spark, sf_dir)), 300.0), 300.0))
+
+
 # Resampling, smoothing and stitching -------------------------------------------------------------------------------
 
 _WEIGHTED = "wp AS (SELECT *, CAST((obs_idx * 7 + particle_id * 3 + traj_id) % 5 AS DOUBLE) AS wt FROM particles)"

@@ -1,0 +1,39 @@
+"""Queries that propose particles for every transition, against DuckDB on a few short trajectories."""
+
+import duckdb
+import pytest
+
+from pathloom.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+NAMES = ("g5_proposal_totals", "a4_far_mass", "a5_gradient_totals", "g6_proposed_particles", "q_retried_particles")
+
+
+@pytest.fixture(scope="module")
+def few(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("few")
+    nth = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+    duckdb.sql(f"copy (select * exclude n from (select *, {nth} as n from '{SF}/events.parquet') where user_id in (select distinct user_id from '{SF}/events.parquet' order by 1 limit 3) and n <= 6) to '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_transition_equals_sql(spark, few, name):
+    """The first transition's SQL, with a key of the step in place of the trajectory's."""
+    sql = catalog.ORACLES[name]
+    for old, new in (
+        ("firsts AS (SELECT * FROM particles WHERE obs_idx = 0)", "firsts AS (SELECT * REPLACE (traj_id * 1048576 + obs_idx AS traj_id) FROM particles)"),
+        ("o.traj_id = c.traj_id AND o.obs_idx = 1", "o.traj_id * 1048576 + o.obs_idx - 1 = c.traj_id AND o.obs_idx > 0"),
+    ):
+        assert old in sql
+        sql = sql.replace(old, new)
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{few}/events.parquet'")
+    want = duck.sql(f"select * replace (traj_id // 1048576 as traj_id), traj_id % 1048576 as obs_idx from ({sql})")
+    got = catalog.QUERIES[f"{name}_of_all"](spark, few)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    rows = [tuple(r) for r in got.select(*columns).collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want.project(",".join(f'"{c}"' for c in columns)).fetchall()))
+    if name != "q_retried_particles":
+        assert {r[columns.index("obs_idx")] for r in rows} == {0, 1, 2, 3, 4}
