@@ -330,6 +330,29 @@ def test_edited_copies_of_hot_passages_are_found(spark):
     assert got == {doc_id for doc_id, _ in made if doc_id % 100}
 
 
+def test_paragraphs_beside_a_diagonal_are_verified():
+    """With a word inserted in the middle, whatever anchor met: as many stretches as plain sets find around the anchors."""
+    made_of, wrong = np.random.default_rng(5), 0
+    for _ in range(60):
+        passage = made_of.integers(1, 1 << 62, 51, dtype=np.uint64)
+        around = [made_of.integers(1, 1 << 62, 30, dtype=np.uint64) for _ in range(4)]
+        a = np.concatenate([around[0], passage, around[1]])
+        b = np.concatenate([around[2], np.insert(passage, 26, np.uint64(7)), around[3]])
+        ga, gb = at.gram_hashes(a, passages.SHINGLE), at.gram_hashes(b, passages.SHINGLE)
+        p = 30 + int(made_of.integers(0, 20))
+        want = np.zeros(len(a), bool)
+        for i in range(p - passages.GRAMS + 1, p + 1):
+            if i >= 0:
+                one, two = set(ga[i : i + passages.GRAMS].tolist()), set(gb[i : i + passages.GRAMS].tolist())
+                if len(one & two) >= passages.SIMILAR * len(one | two):
+                    want[i : i + passages.PARAGRAPH] = True
+        got = np.zeros(len(a), bool)
+        for s, e in passages._stretches(ga, gb, np.array([(p, p)])).tolist():
+            got[s:e] = True
+        wrong += not (got == want).all()
+    assert not wrong
+
+
 # Odd inputs --------------------------------------------------------------------------------------------------------
 
 
