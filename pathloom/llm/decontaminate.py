@@ -51,7 +51,7 @@ def inner_grams(words: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _sliding(take, x: np.ndarray, width: int) -> np.ndarray:
+def sliding(take, x: np.ndarray, width: int) -> np.ndarray:
     """take over each `width` consecutive entries."""
     done = 1
     while done < width:
@@ -66,9 +66,9 @@ def winnowed(grams: np.ndarray, width: int = WINDOW - GRAM + 1) -> np.ndarray:
     if len(grams) < width:
         padded = np.concatenate([grams, np.full(width - len(grams), NO_GRAM)])
         return np.flatnonzero((grams == padded.min()) & (grams != NO_GRAM)) if len(grams) else np.zeros(0, np.int64)
-    least = _sliding(np.minimum, grams, width)
+    least = sliding(np.minimum, grams, width)
     edge = np.zeros(width - 1, np.uint64)
-    best = _sliding(np.maximum, np.concatenate([edge, least, edge]), width)
+    best = sliding(np.maximum, np.concatenate([edge, least, edge]), width)
     return np.flatnonzero((best == grams) & (grams != NO_GRAM))
 
 
