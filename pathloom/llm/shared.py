@@ -36,9 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by `cut` of which nothing will be read any more."""
+    """Deletes tables made by `cut` of which nothing will be read any more. As Spark deletes the shuffles
+    behind them when the driver's collector finds their plans gone, that is called as well."""
     for table in tables:
         _delete(table.__dict__["_scratch"], table.sparkSession)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def _delete(path: str, spark: SparkSession) -> None:
@@ -74,6 +76,15 @@ def beside(pairs: DataFrame, rows: DataFrame, key: str, other: str, counted: Dat
     return one.join(two, [key, "__part"]).drop("__part")
 
 
+#: Rows of a table made by `cut` that a broadcast may hold; they are counted, and more are joined by shuffles.
+FEW = 2_000_000
+
+
+def few(table: DataFrame, most: int = FEW) -> DataFrame:
+    """The table, to be broadcast if it has so few rows. Only for tables of some longs a row."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
