@@ -54,9 +54,8 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("int")
 
 
-def to_utm(lon: Column, lat: Column, zone: Column | None = None) -> Column:
-    """Longitude and latitude, in degrees, as a struct (x, y, zone) of UTM metres, by the series of
-    transverse Mercator to the sixth order of the third flattening."""
+def utm_constants() -> tuple[float, float, tuple[float, ...]]:
+    """The rectifying radius, the ellipsoid's eccentricity, and the coefficients of the series by multiple of the angle."""
     n = FLATTENING / (2 - FLATTENING)
     radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
     series = (
@@ -67,8 +66,14 @@ def to_utm(lon: Column, lat: Column, zone: Column | None = None) -> Column:
         34729 * n**5 / 80640 - 3418889 * n**6 / 1995840,
         212378941 * n**6 / 319334400,
     )
+    return radius, math.sqrt(FLATTENING * (2 - FLATTENING)), series
+
+
+def to_utm(lon: Column, lat: Column, zone: Column | None = None) -> Column:
+    """Longitude and latitude, in degrees, as a struct (x, y, zone) of UTM metres, by the series of
+    transverse Mercator to the sixth order of the third flattening."""
+    radius, eccentric, series = utm_constants()
     zone = utm_zone(lon) if zone is None else zone
-    eccentric = math.sqrt(FLATTENING * (2 - FLATTENING))
     phi, away = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     sine = F.sin(phi)
     tangent = F.sinh(F.atanh(sine) - eccentric * F.atanh(eccentric * sine))

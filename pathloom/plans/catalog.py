@@ -1,10 +1,8 @@
 """The queries of the map-matching operators, and their equivalents in DuckDB's SQL.
 
-Every query runs over all events (or the whole network), but for s2_edge_geometry,
-g1_possible_routes, g1_full_length_routes and g4_extended_routes, whose SQL starts from some edges
-only, and those that propose particles, whose SQL takes each trajectory's first transition: the
-queries ending in _of_all do the same from all edges and for all transitions. Doubles are compared at six decimals, as
-engines add in different orders.
+Every query runs over all events (or the whole network), and those that propose particles over
+every transition of every trajectory. Doubles are compared at six decimals, as engines add in
+different orders.
 """
 
 from __future__ import annotations
@@ -67,14 +65,8 @@ def s1(spark, sf_dir):
     return plain(fixture(spark, sf_dir).table)
 
 
-@query("s2_edge_geometry", w(PLAIN_SQL + " WHERE u % 7 = 3"))
+@query("s2_edge_geometry", w(PLAIN_SQL))
 def s2(spark, sf_dir):
-    f = fixture(spark, sf_dir)
-    return plain(network.edge_geometry(f.table, f.edges.where("u % 7 = 3").select(*EDGE)))
-
-
-@query("s2_edge_geometry_of_all", w(PLAIN_SQL))
-def s2_all(spark, sf_dir):
     f = fixture(spark, sf_dir)
     return plain(network.edge_geometry(f.table, f.edges.select(*EDGE)))
 
@@ -255,43 +247,20 @@ def told(found: DataFrame) -> DataFrame:
     return rounded(found.withColumn("path", routes.route_id(F.col("path"))), "d_start", "d_end").select("su", "sv", "sk", *EDGE, "path", "d_start", "d_end", "n_rows", "open")
 
 
-@query("g1_possible_routes", f"WITH RECURSIVE {SQL}, {_ROUTES.replace('{where}', 'u % 40 = 5').replace('{d_max}', '300')} SELECT su, sv, sk, u, v, k, path, round(d_start, 6) AS d_start, round(d_end, 6) AS d_end, n_rows, open FROM routes")
+@query("g1_possible_routes", f"WITH RECURSIVE {SQL}, {_ROUTES.replace('{where}', 'true').replace('{d_max}', '300')} SELECT su, sv, sk, u, v, k, path, round(d_start, 6) AS d_start, round(d_end, 6) AS d_end, n_rows, open FROM routes")
 def g1(spark, sf_dir):
     f = fixture(spark, sf_dir)
-    return told(route_table(f, f.edges.where("u % 40 = 5"), 300.0))
+    return told(route_table(f, f.edges, 300.0))
 
 
-@query("g1_full_length_routes", f"WITH RECURSIVE {SQL}, {_ROUTES.replace('{where}', 'u % 40 = 5').replace('{d_max}', '300')} SELECT su, sv, sk, count(*) AS n FROM routes WHERE d_end >= 300 GROUP BY ALL")
+@query("g1_full_length_routes", f"WITH RECURSIVE {SQL}, {_ROUTES.replace('{where}', 'true').replace('{d_max}', '300')} SELECT su, sv, sk, count(*) AS n FROM routes WHERE d_end >= 300 GROUP BY ALL")
 def g1f(spark, sf_dir):
-    f = fixture(spark, sf_dir)
-    found = routes.expand(routes.starts_of(f.table, f.edges.where("u % 40 = 5")), f.table, 300.0, 10, all_routes=False)
-    return found.groupBy("su", "sv", "sk").agg(F.count("*").alias("n"))
+    return full_length(fixture(spark, sf_dir), 300.0)
 
 
-@query("g4_extended_routes", f"WITH RECURSIVE {SQL}, {_ROUTES.replace('{where}', 'u = 45').replace('{d_max}', '300')}, {_ROUTES.replace('starts AS', 'starts2 AS').replace('routes(', 'longer(').replace('FROM starts', 'FROM starts2').replace('FROM routes r', 'FROM longer r').replace('{where}', 'u = 45').replace('{d_max}', '400')} SELECT l.path, round(l.d_start, 6) AS d_start, round(l.d_end, 6) AS d_end FROM longer l WHERE EXISTS (SELECT 1 FROM routes r WHERE r.d_end >= 300 AND (l.path = r.path OR starts_with(l.path, r.path || '>')))")
+@query("g4_extended_routes", f"WITH RECURSIVE {SQL}, {_ROUTES.replace('{where}', 'true').replace('{d_max}', '300')}, {_ROUTES.replace('starts AS', 'starts2 AS').replace('routes(', 'longer(').replace('FROM starts', 'FROM starts2').replace('FROM routes r', 'FROM longer r').replace('{where}', 'true').replace('{d_max}', '400')} SELECT DISTINCT l.path, round(l.d_start, 6) AS d_start, round(l.d_end, 6) AS d_end FROM longer l JOIN routes r ON l.su = r.su AND l.sv = r.sv AND l.sk = r.sk AND r.d_end >= 300 AND (l.path = r.path OR starts_with(l.path, r.path || '>'))")
 def g4(spark, sf_dir):
-    f = fixture(spark, sf_dir)
-    first = route_table(f, f.edges.where("u = 45"), 300.0)
-    more = routes.extended(first, f.table, 100.0, 300.0, 10)
-    return rounded(more.withColumn("path", routes.route_id(F.col("path"))), "d_start", "d_end").select("path", "d_start", "d_end")
-
-
-@query("g1_possible_routes_of_all")
-def g1_all(spark, sf_dir):
-    f = fixture(spark, sf_dir)
-    return told(route_table(f, f.edges, 300.0))
-
-
-@query("g1_full_length_routes_of_all")
-def g1f_all(spark, sf_dir):
-    f = fixture(spark, sf_dir)
-    return full_length(f, 300.0)
-
-
-@query("g4_extended_routes_of_all")
-def g4_all(spark, sf_dir):
-    f = fixture(spark, sf_dir)
-    return longer(f, 300.0, 100.0)
+    return longer(fixture(spark, sf_dir), 300.0, 100.0)
 
 
 def full_length(f, d_max: float) -> DataFrame:
@@ -306,7 +275,11 @@ def longer(f, d_max: float, more: float) -> DataFrame:
     return rounded(out.withColumn("path", routes.route_id(F.col("path"))), "d_start", "d_end").select("path", "d_start", "d_end")
 
 
-_FIRST = "firsts AS (SELECT * FROM particles WHERE obs_idx = 0)"
+#: Room for a trajectory's observations in the key of a step.
+STEPS = 1 << 20
+#: In SQL a step's key stands in place of the trajectory's until the last select.
+_STEP = f"traj_id // {STEPS} AS traj_id, traj_id % {STEPS} AS obs_idx"
+_FIRST = f"firsts AS (SELECT * REPLACE (traj_id * {STEPS} + obs_idx AS traj_id) FROM particles)"
 _CANDIDATES = f"""
 {_FIRST},
 starts AS (SELECT DISTINCT u, v, k FROM firsts),
@@ -314,7 +287,7 @@ starts AS (SELECT DISTINCT u, v, k FROM firsts),
 cand0 AS (SELECT p.traj_id, p.particle_id, p.x AS px, p.y AS py, p.alpha AS pa, s.length AS sl, r.path, r.n_rows, g.u, g.v, g.k, g.grid_idx, g.dist, g.alpha, g.x, g.y, r.d_start + (1-p.alpha)*s.length AS base
   FROM firsts p JOIN et s ON s.u = p.u AND s.v = p.v AND s.k = p.k JOIN routes r ON r.su = p.u AND r.sv = p.v AND r.sk = p.k JOIN grid g ON g.u = r.u AND g.v = r.v AND g.k = r.k),
 cand AS (SELECT *, CASE WHEN n_rows = 1 THEN dist - pa * sl ELSE base + dist END AS d FROM cand0 WHERE n_rows > 1 OR alpha >= pa - 1e-12),
-prior AS (SELECT c.*, least(0.5::DOUBLE, greatest(0.01::DOUBLE, exp(-0.133::DOUBLE * 15))) AS p0, o.x AS ox, o.y AS oy FROM cand c JOIN obs o ON o.traj_id = c.traj_id AND o.obs_idx = 1 WHERE d < 300 + 1e-5),
+prior AS (SELECT c.*, least(0.5::DOUBLE, greatest(0.01::DOUBLE, exp(-0.133::DOUBLE * 15))) AS p0, o.x AS ox, o.y AS oy FROM cand c JOIN obs o ON o.traj_id * {STEPS} + o.obs_idx - 1 = c.traj_id AND o.obs_idx > 0 WHERE d < 300 + 1e-5),
 prior2 AS (SELECT *, CASE WHEN d > 1e-5 THEN (1-p0) * 0.068::DOUBLE * exp(-0.068::DOUBLE * d / 15) / 15 ELSE p0 END AS gamma, exp(-0.052::DOUBLE * abs(sqrt((x-px)*(x-px) + (y-py)*(y-py)) - d)) AS dev,
   exp({-0.5 / MODEL.gps_sd**2!r}::DOUBLE * ((x-ox)*(x-ox) + (y-oy)*(y-oy))) AS lik, CASE WHEN d > 1e-5 THEN p0 * 0.068::DOUBLE * exp(-0.068::DOUBLE * d / 15) ELSE -p0 * 15 END AS g1,
   CASE WHEN d > 1e-5 THEN (1-p0) * exp(-0.068::DOUBLE * d / 15) / 15 * (1 - 0.068::DOUBLE * d / 15) ELSE 0 END AS g2 FROM prior)
@@ -322,47 +295,6 @@ prior2 AS (SELECT *, CASE WHEN d > 1e-5 THEN (1-p0) * 0.068::DOUBLE * exp(-0.068
 
 
 def proposal_rows(f, gradients: bool = False) -> DataFrame:
-    """Candidates of the first observations' particles for the second ones, weighted."""
-    first = f.particles.where("obs_idx = 0")
-    table = route_table(f, first, 300.0)
-    found = proposal.candidates(first, table, f.table, f.grid, 300.0, fixtures.REFINE)
-    return proposal.weighted(found, f.obs.where("obs_idx = 1"), MODEL, DT, gradients)
-
-
-@query("g5_proposal_totals", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT traj_id, particle_id, round(sum(gamma*dev), 6) AS z, round(sum(gamma*dev*lik) / sum(gamma*dev), 6) AS weight, round(max(d), 6) AS max_d, count(*) AS n_candidates FROM prior2 GROUP BY ALL")
-def g5(spark, sf_dir):
-    sums = proposal.totals(proposal_rows(fixture(spark, sf_dir)), 300.0)
-    return rounded(sums, "z", "weight", "max_d").select("traj_id", "particle_id", "z", "weight", "max_d", "n_candidates")
-
-
-@query("a4_far_mass", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT traj_id, particle_id, round(CASE WHEN sum(gamma*dev*lik) > 1e-100 THEN sum(CASE WHEN d > 270 THEN gamma*dev*lik ELSE 0 END) / sum(gamma*dev*lik) ELSE 0 END, 6) AS far_ratio FROM prior2 GROUP BY ALL")
-def a4(spark, sf_dir):
-    return rounded(proposal.totals(proposal_rows(fixture(spark, sf_dir)), 300.0), "far_ratio").select("traj_id", "particle_id", "far_ratio")
-
-
-@query("a5_gradient_totals", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT traj_id, particle_id, round(sum(g1*dev), 6) + 0.0::DOUBLE AS g_r0, round(sum(g2*dev), 6) + 0.0::DOUBLE AS g_lambda, round(-sum(abs(sqrt((x-px)*(x-px) + (y-py)*(y-py)) - d) * gamma * dev), 6) + 0.0::DOUBLE AS g_beta FROM prior2 GROUP BY ALL")
-def a5(spark, sf_dir):
-    sums = proposal.totals(proposal_rows(fixture(spark, sf_dir), True), 300.0, True)
-    return sums.select("traj_id", "particle_id", r6("z_d_zero_dist_prob_neg_exponent").alias("g_r0"), r6("z_d_lambda_speed").alias("g_lambda"), r6("z_d_deviation_beta").alias("g_beta"))
-
-
-_PROPOSED = f"""{_CANDIDATES},
-mass AS (SELECT *, gamma*dev*lik AS m FROM prior2 WHERE lik > 0),
-mcdf AS (SELECT *, sum(m) OVER (PARTITION BY traj_id, particle_id ORDER BY path, grid_idx ROWS UNBOUNDED PRECEDING) AS cdf, sum(m) OVER (PARTITION BY traj_id, particle_id) AS total FROM mass),
-masked AS (SELECT DISTINCT traj_id, particle_id, CAST(('0x' || substr(md5(concat_ws('|', '17', traj_id, particle_id, 'propose', 0)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS uni FROM mass),
-proposed AS (SELECT c.* FROM mcdf c JOIN masked q USING (traj_id, particle_id) WHERE m > 0 AND uni >= (cdf - m) / total AND uni < cdf / total)"""
-
-
-@query("g6_proposed_particles", f"WITH RECURSIVE {SQL_NEAR}, {_PROPOSED} SELECT traj_id, particle_id, u, v, k, grid_idx, path AS route_id, round(d, 6) + 0.0::DOUBLE AS d FROM proposed")
-def g6(spark, sf_dir):
-    return rounded(proposal.proposed(proposal_rows(fixture(spark, sf_dir)), 17), "d").select("traj_id", "particle_id", *EDGE, "grid_idx", "route_id", "d")
-
-
-#: Room for a trajectory's observations in the key of a step.
-STEPS = 1 << 20
-
-
-def all_proposal_rows(f, gradients: bool = False) -> DataFrame:
     """Candidates of every observation's particles for the next observation, weighted; traj_id is the key of the step."""
     key = F.col("traj_id") * STEPS + F.col("obs_idx")
     later = f.obs.where("obs_idx > 0").withColumn("traj_id", key - 1)
@@ -377,36 +309,39 @@ def by_step(df: DataFrame, *names) -> DataFrame:
     return df.select(F.shiftright(key, 20).alias("traj_id"), key.bitwiseAND(F.lit(STEPS - 1)).alias("obs_idx"), "particle_id", *names)
 
 
-@query("g5_proposal_totals_of_all")
-def g5_all(spark, sf_dir):
-    sums = proposal.totals(all_proposal_rows(fixture(spark, sf_dir)), 300.0)
+@query("g5_proposal_totals", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT {_STEP}, particle_id, round(sum(gamma*dev), 6) AS z, round(sum(gamma*dev*lik) / sum(gamma*dev), 6) AS weight, round(max(d), 6) AS max_d, count(*) AS n_candidates FROM prior2 GROUP BY ALL")
+def g5(spark, sf_dir):
+    sums = proposal.totals(proposal_rows(fixture(spark, sf_dir)), 300.0)
     return by_step(rounded(sums, "z", "weight", "max_d"), "z", "weight", "max_d", "n_candidates")
 
 
-@query("a4_far_mass_of_all")
-def a4_all(spark, sf_dir):
-    return by_step(rounded(proposal.totals(all_proposal_rows(fixture(spark, sf_dir)), 300.0), "far_ratio"), "far_ratio")
+@query("a4_far_mass", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT {_STEP}, particle_id, round(CASE WHEN sum(gamma*dev*lik) > 1e-100 THEN sum(CASE WHEN d > 270 THEN gamma*dev*lik ELSE 0 END) / sum(gamma*dev*lik) ELSE 0 END, 6) AS far_ratio FROM prior2 GROUP BY ALL")
+def a4(spark, sf_dir):
+    return by_step(rounded(proposal.totals(proposal_rows(fixture(spark, sf_dir)), 300.0), "far_ratio"), "far_ratio")
 
 
-@query("a5_gradient_totals_of_all")
-def a5_all(spark, sf_dir):
-    sums = proposal.totals(all_proposal_rows(fixture(spark, sf_dir), True), 300.0, True)
+@query("a5_gradient_totals", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT {_STEP}, particle_id, round(sum(g1*dev), 6) + 0.0::DOUBLE AS g_r0, round(sum(g2*dev), 6) + 0.0::DOUBLE AS g_lambda, round(-sum(abs(sqrt((x-px)*(x-px) + (y-py)*(y-py)) - d) * gamma * dev), 6) + 0.0::DOUBLE AS g_beta FROM prior2 GROUP BY ALL")
+def a5(spark, sf_dir):
+    sums = proposal.totals(proposal_rows(fixture(spark, sf_dir), True), 300.0, True)
     return by_step(sums, r6("z_d_zero_dist_prob_neg_exponent").alias("g_r0"), r6("z_d_lambda_speed").alias("g_lambda"), r6("z_d_deviation_beta").alias("g_beta"))
 
 
-@query("g6_proposed_particles_of_all")
-def g6_all(spark, sf_dir):
-    return by_step(rounded(proposal.proposed(all_proposal_rows(fixture(spark, sf_dir)), 17), "d"), *EDGE, "grid_idx", "route_id", "d")
+_PROPOSED = f"""{_CANDIDATES},
+mass AS (SELECT *, gamma*dev*lik AS m FROM prior2 WHERE lik > 0),
+mcdf AS (SELECT *, sum(m) OVER (PARTITION BY traj_id, particle_id ORDER BY path, grid_idx ROWS UNBOUNDED PRECEDING) AS cdf, sum(m) OVER (PARTITION BY traj_id, particle_id) AS total FROM mass),
+masked AS (SELECT DISTINCT traj_id, particle_id, CAST(('0x' || substr(md5(concat_ws('|', '17', traj_id, particle_id, 'propose', 0)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS uni FROM mass),
+proposed AS (SELECT c.* FROM mcdf c JOIN masked q USING (traj_id, particle_id) WHERE m > 0 AND uni >= (cdf - m) / total AND uni < cdf / total)"""
 
 
-@query("q_retried_particles_of_all")
-def q7_all(spark, sf_dir):
-    return by_step(proposal.retried(proposal.totals(all_proposal_rows(fixture(spark, sf_dir)), 300.0), 300.0))
+@query("g6_proposed_particles", f"WITH RECURSIVE {SQL_NEAR}, {_PROPOSED} SELECT {_STEP}, particle_id, u, v, k, grid_idx, path AS route_id, round(d, 6) + 0.0::DOUBLE AS d FROM proposed")
+def g6(spark, sf_dir):
+    out = rounded(proposal.proposed(proposal_rows(fixture(spark, sf_dir)), 17), "d")
+    return by_step(out, *EDGE, "grid_idx", "route_id", "d")
 
 
 # Resampling, smoothing and stitching -------------------------------------------------------------------------------
 
-_WEIGHTED = "wp AS (SELECT *, CAST((obs_idx * 7 + particle_id * 3 + traj_id) % 5 AS DOUBLE) AS wt FROM particles)"
+_WEIGHTED = "wp AS MATERIALIZED (SELECT *, CAST((obs_idx * 7 + particle_id * 3 + traj_id) % 5 AS DOUBLE) AS wt FROM particles)"
 
 
 def weighted_particles(f) -> DataFrame:
@@ -417,7 +352,7 @@ def weighted_particles(f) -> DataFrame:
 _DRAWN = f"""{_WEIGHTED},
 wc AS (SELECT traj_id, obs_idx, particle_id, wt, sum(wt) OVER (PARTITION BY traj_id, obs_idx ORDER BY particle_id ROWS UNBOUNDED PRECEDING) AS cdf, sum(wt) OVER (PARTITION BY traj_id, obs_idx) AS total FROM wp),
 wa AS (SELECT DISTINCT traj_id, obs_idx, draw, CAST(('0x' || substr(md5(concat_ws('|', '23', traj_id, obs_idx, 'resample', draw)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS uni FROM wp, range(4) d(draw)),
-drawn AS (SELECT traj_id, obs_idx, draw, particle_id AS ancestor_id FROM wa JOIN wc USING (traj_id, obs_idx) WHERE total > 0 AND wt > 0 AND uni >= (cdf - wt) / total AND uni < cdf / total)"""
+drawn AS MATERIALIZED (SELECT traj_id, obs_idx, draw, particle_id AS ancestor_id FROM wa JOIN wc USING (traj_id, obs_idx) WHERE total > 0 AND wt > 0 AND uni >= (cdf - wt) / total AND uni < cdf / total)"""
 STEP = ["traj_id", "obs_idx"]
 
 
@@ -444,11 +379,11 @@ def j14(spark, sf_dir):
     return resampling.repaired(weighted_particles(fixture(spark, sf_dir)), STEP, 29)
 
 
-#: Future paths that stay on their edge: particle j of the next observation begins and ends there.
+#: Future paths: those of even particles end on their edge, those of odd ones 30 m past its end.
 _GAMMA = "CASE WHEN {d} > 1e-5 THEN (1-least(0.5::DOUBLE, greatest(0.01::DOUBLE, exp(-0.133::DOUBLE * 15)))) * 0.068::DOUBLE * exp(-0.068::DOUBLE * {d} / 15) / 15 ELSE least(0.5::DOUBLE, greatest(0.01::DOUBLE, exp(-0.133::DOUBLE * 15))) END"
 _BACKWARD = f"""
-fut AS (SELECT a.traj_id, a.obs_idx, a.particle_id AS j, a.u, a.v, a.k, a.alpha AS alpha0, a.alpha + (1 - a.alpha) / 2 AS alpha_next, (1 - a.alpha) / 2 * length AS d_next, a.x AS nx, a.y AS ny FROM particles a JOIN et USING (u, v, k)),
-met AS (SELECT f.traj_id, f.obs_idx, j, p.particle_id, d_next + round((alpha0 - p.alpha) * length, 5) AS d, p.x, p.y, nx, ny FROM fut f JOIN particles p ON p.traj_id = f.traj_id AND p.obs_idx = f.obs_idx AND p.u = f.u AND p.v = f.v AND p.k = f.k JOIN et ON et.u = p.u AND et.v = p.v AND et.k = p.k WHERE p.alpha <= alpha_next + 1e-6),
+fut AS (SELECT a.traj_id, a.obs_idx, a.particle_id AS j, a.u, a.v, a.k, a.alpha AS alpha0, a.particle_id % 2 = 0 AS stays, CASE WHEN a.particle_id % 2 = 0 THEN a.alpha + (1 - a.alpha) / 2 ELSE 0.3::DOUBLE END AS alpha_next, CASE WHEN a.particle_id % 2 = 0 THEN (1 - a.alpha) / 2 * length ELSE (1 - a.alpha) * length + 30 END AS d_next, CASE WHEN a.particle_id % 2 = 0 THEN a.x ELSE vx END AS nx, CASE WHEN a.particle_id % 2 = 0 THEN a.y ELSE vy + 30 END AS ny FROM particles a JOIN et USING (u, v, k)),
+met AS (SELECT f.traj_id, f.obs_idx, j, p.particle_id, d_next + round((alpha0 - p.alpha) * length, 5) AS d, p.x, p.y, nx, ny FROM fut f JOIN particles p ON p.traj_id = f.traj_id AND p.obs_idx = f.obs_idx AND p.u = f.u AND p.v = f.v AND p.k = f.k JOIN et ON et.u = p.u AND et.v = p.v AND et.k = p.k WHERE NOT stays OR p.alpha <= alpha_next + 1e-6),
 bw AS (SELECT *, (particle_id + 1) / 0.5::DOUBLE * ({_GAMMA.format(d='d')}) * exp(-0.052::DOUBLE * abs(sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y)) - d)) AS w0 FROM met WHERE d >= 0)"""
 
 
@@ -461,9 +396,10 @@ def keyed_steps(f) -> DataFrame:
 def g9(spark, sf_dir):
     f = fixture(spark, sf_dir)
     p = keyed_steps(f)
-    futures = p.join(f.table.select(*EDGE, "length"), EDGE).select(
-        "traj_id", F.col("particle_id").alias("j"), *EDGE, F.col("alpha").alias("alpha0"), F.lit(True).alias("same_edge"), (F.col("alpha") + (1 - F.col("alpha")) / 2).alias("alpha_next"),
-        ((1 - F.col("alpha")) / 2 * F.col("length")).alias("d_next"), F.col("x").alias("nx"), F.col("y").alias("ny"),
+    stays, end = F.col("particle_id") % 2 == 0, F.element_at("geom", -1)
+    futures = p.join(f.table.select(*EDGE, "geom", "length"), EDGE).select(
+        "traj_id", F.col("particle_id").alias("j"), *EDGE, F.col("alpha").alias("alpha0"), stays.alias("same_edge"), F.when(stays, F.col("alpha") + (1 - F.col("alpha")) / 2).otherwise(0.3).alias("alpha_next"),
+        F.when(stays, (1 - F.col("alpha")) / 2 * F.col("length")).otherwise((1 - F.col("alpha")) * F.col("length") + 30).alias("d_next"), F.when(stays, F.col("x")).otherwise(end["x"]).alias("nx"), F.when(stays, F.col("y")).otherwise(end["y"] + 30).alias("ny"),
     )
     filtered = p.select("traj_id", "particle_id", *EDGE, "alpha", "x", "y", (F.col("particle_id") + 1).cast("double").alias("weight"), F.lit(0.5).alias("z"))
     out = resampling.backward_weights(filtered, futures, f.table, MODEL, DT)
@@ -471,10 +407,10 @@ def g9(spark, sf_dir):
 
 
 _STITCH = f"""
-fresh AS (SELECT a.traj_id, a.obs_idx, a.particle_id, a.u, a.v, a.k, a.alpha, a.x, a.y, a.alpha + (1 - a.alpha) / 2 AS alpha_next, (1 - a.alpha) / 2 * length AS d_next, a.x + 1 AS nx, a.y AS ny, length FROM particles a JOIN et USING (u, v, k)),
+fresh AS (SELECT a.traj_id, a.obs_idx, a.particle_id, a.u, a.v, a.k, a.alpha, a.x, a.y, a.particle_id % 2 = 0 AS stays, CASE WHEN a.particle_id % 2 = 0 THEN a.alpha + (1 - a.alpha) / 2 ELSE 0.1::DOUBLE END AS alpha_next, CASE WHEN a.particle_id % 2 = 0 THEN (1 - a.alpha) / 2 * length ELSE (1 - a.alpha) * length + 10 END AS d_next, CASE WHEN a.particle_id % 2 = 0 THEN a.x + 1 ELSE vx END AS nx, CASE WHEN a.particle_id % 2 = 0 THEN a.y ELSE vy + 10 END AS ny, length FROM particles a JOIN et USING (u, v, k)),
 adj AS (SELECT *, ({_GAMMA.format(d='d_next')}) * exp(-0.052::DOUBLE * abs(sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y)) - d_next)) * 0.5 AS bottom FROM fresh),
 smet AS (SELECT f.traj_id, f.obs_idx, f.particle_id AS j, a.particle_id, CASE WHEN bottom > 1e-5 THEN (a.particle_id + 1) / bottom ELSE 0 END AS adjusted, d_next + round((a.alpha - f.alpha) * length, 5) AS d, f.x AS jx, f.y AS jy, nx, ny
-  FROM particles f JOIN adj a ON a.traj_id = f.traj_id AND a.obs_idx = f.obs_idx AND a.u = f.u AND a.v = f.v AND a.k = f.k WHERE alpha_next >= f.alpha - 1e-6),
+  FROM particles f JOIN adj a ON a.traj_id = f.traj_id AND a.obs_idx = f.obs_idx AND a.u = f.u AND a.v = f.v AND a.k = f.k WHERE NOT stays OR alpha_next >= f.alpha - 1e-6),
 sw AS (SELECT *, adjusted * ({_GAMMA.format(d='d')}) * exp(-0.052::DOUBLE * abs(sqrt((nx-jx)*(nx-jx) + (ny-jy)*(ny-jy)) - d)) AS w0 FROM smet WHERE d >= 0)"""
 
 
@@ -483,9 +419,11 @@ def g12(spark, sf_dir):
     f = fixture(spark, sf_dir)
     p = keyed_steps(f)
     fixed = p.select("traj_id", F.col("particle_id").alias("j"), *EDGE, F.col("alpha").alias("ja"), F.col("x").alias("jx"), F.col("y").alias("jy"))
-    fresh = p.join(f.table.select(*EDGE, "length"), EDGE).select(
-        "traj_id", "particle_id", *EDGE, "alpha", "x", "y", (F.col("particle_id") + 1).cast("double").alias("weight"), F.lit(0.5).alias("z"), ((1 - F.col("alpha")) / 2 * F.col("length")).alias("d_next"),
-        F.lit(True).alias("same_edge"), (F.col("alpha") + (1 - F.col("alpha")) / 2).alias("alpha_next"), (F.col("x") + 1).alias("nx"), F.col("y").alias("ny"),
+    stays, end = F.col("particle_id") % 2 == 0, F.element_at("geom", -1)
+    fresh = p.join(f.table.select(*EDGE, "geom", "length"), EDGE).select(
+        "traj_id", "particle_id", *EDGE, "alpha", "x", "y", (F.col("particle_id") + 1).cast("double").alias("weight"), F.lit(0.5).alias("z"),
+        F.when(stays, (1 - F.col("alpha")) / 2 * F.col("length")).otherwise((1 - F.col("alpha")) * F.col("length") + 10).alias("d_next"), stays.alias("same_edge"),
+        F.when(stays, F.col("alpha") + (1 - F.col("alpha")) / 2).otherwise(0.1).alias("alpha_next"), F.when(stays, F.col("x") + 1).otherwise(end["x"]).alias("nx"), F.when(stays, F.col("y")).otherwise(end["y"] + 10).alias("ny"),
     )
     return resampling.stitch_weights(fixed, fresh, f.table, MODEL, DT).select("traj_id", "j", "particle_id", r6("sw").alias("sw"))
 
@@ -619,10 +557,21 @@ def a16tv(spark, sf_dir):
     return rounded(analytics.total_variation(rows.where("particle_id = 0"), rows.where("particle_id = 1"), ["interval"], "travelled", None), "tv")
 
 
-@query("p4_utm", "SELECT s_suppkey, CAST(floor((lon + 180) / 6) + 1 AS INT) AS zone FROM (SELECT s_suppkey, (s_suppkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon FROM supplier)")
+def _utm_sql() -> str:
+    """Easting and northing by the series of transverse Mercator, in the order in which `geometry.to_utm` sums them."""
+    radius, eccentric, series = geometry.utm_constants()
+    east = " + ".join(["eta", *[f"{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(series, 1)]])
+    north = " + ".join(["xi", *[f"{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(series, 1)]])
+    return f"""SELECT s_suppkey, zone, round({geometry.FALSE_EAST!r}::DOUBLE + {geometry.SCALE * radius!r}::DOUBLE * ({east}), 3) AS x, round({geometry.SCALE * radius!r}::DOUBLE * ({north}) + CASE WHEN lat < 0 THEN {geometry.FALSE_NORTH!r}::DOUBLE ELSE 0 END, 3) AS y
+      FROM (SELECT *, atan2(tangent, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + tangent * tangent)) AS eta
+      FROM (SELECT *, sinh(atanh(sin(radians(lat))) - {eccentric!r}::DOUBLE * atanh({eccentric!r}::DOUBLE * sin(radians(lat)))) AS tangent, radians(lon - (zone * 6 - 183)) AS away
+      FROM (SELECT *, CAST(floor((lon + 180) / 6) + 1 AS INT) AS zone FROM (SELECT s_suppkey, (s_suppkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (s_suppkey * 53 % 1600) / 10.0::DOUBLE - 80 AS lat FROM supplier))))"""
+
+
+@query("p4_utm", _utm_sql())
 def p4(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", ((F.col("s_suppkey") * 37 % 3600) / 10.0 - 180).alias("lon"), ((F.col("s_suppkey") * 53 % 1600) / 10.0 - 80).alias("lat"))
-    return geometry.project_table(s, "lon", "lat").select("s_suppkey", "zone")
+    return geometry.project_table(s, "lon", "lat").select("s_suppkey", "zone", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 # Whole matches: no SQL, rows only; tests hold them against exact smoothing ------------------------------------------
@@ -635,19 +584,19 @@ def timed(f) -> DataFrame:
 @query("g19_offline_map_match")
 def g19(spark, sf_dir):
     f = fixture(spark, sf_dir)
-    return matching.offline_map_match(timed(f), f.table, MODEL, particles=20, refine=fixtures.REFINE).drop("route")
+    return matching.offline_map_match(timed(f), f.table, MODEL, particles=30, refine=fixtures.REFINE).drop("route")
 
 
 @query("g20_online_replay_bsi")
 def g20(spark, sf_dir):
     f = fixture(spark, sf_dir)
-    return matching.online_replay(timed(f), f.table, MODEL, 10, "BSi", 2, refine=fixtures.REFINE).drop("route")
+    return matching.online_replay(timed(f), f.table, MODEL, 30, "BSi", 2, refine=fixtures.REFINE).drop("route")
 
 
 @query("g16_online_replay_pf")
 def g16(spark, sf_dir):
     f = fixture(spark, sf_dir)
-    return matching.online_replay(timed(f), f.table, MODEL, 10, "PF", 2, refine=fixtures.REFINE).drop("route")
+    return matching.online_replay(timed(f), f.table, MODEL, 30, "PF", 2, refine=fixtures.REFINE).drop("route")
 
 
 @query("g21_learning_trace")
@@ -666,7 +615,7 @@ def s10(spark, sf_dir):
     return simulate.sampled_routes(fixture(spark, sf_dir).table, 200, 20, MODEL, seed=1, refine=fixtures.REFINE).drop("route")
 
 
-@query("s11_trajectory_lengths", w("SELECT traj_id, count(*) AS n FROM obs GROUP BY ALL HAVING count(*) BETWEEN 20 AND 60"))
+@query("f10_trajectories_of_length", w("SELECT traj_id, count(*) AS n FROM obs GROUP BY ALL HAVING count(*) BETWEEN 20 AND 60"))
 def s11(spark, sf_dir):
     points = fixture(spark, sf_dir).obs.groupBy("traj_id").agg(F.collect_list(F.array("x", "y")).alias("POLYLINE"))
     return trips.of_length(points).select("traj_id", F.size("POLYLINE").cast("long").alias("n"))
@@ -689,7 +638,7 @@ def w6(spark, sf_dir):
     return fixture(spark, sf_dir).obs.select("traj_id", "obs_idx", F.min("x").over(last).alias("low"), F.max("x").over(last).alias("high"), F.count("*").over(last).alias("n"))
 
 
-@query("q_retried_particles", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT traj_id, particle_id FROM prior2 GROUP BY ALL HAVING sum(gamma*dev*lik) > 1e-100 AND sum(CASE WHEN d > 270 THEN gamma*dev*lik ELSE 0 END) > 0.1 * sum(gamma*dev*lik) AND max(d) > 270")
+@query("q_retried_particles", f"WITH RECURSIVE {SQL_NEAR}, {_CANDIDATES} SELECT {_STEP}, particle_id FROM prior2 GROUP BY ALL HAVING sum(gamma*dev*lik) > 1e-100 AND sum(CASE WHEN d > 270 THEN gamma*dev*lik ELSE 0 END) > 0.1 * sum(gamma*dev*lik) AND max(d) > 270")
 def q7(spark, sf_dir):
     sums = proposal.totals(proposal_rows(fixture(spark, sf_dir)), 300.0)
-    return proposal.retried(sums, 300.0).select("traj_id", "particle_id")
+    return by_step(proposal.retried(sums, 300.0))

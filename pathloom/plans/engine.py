@@ -52,12 +52,16 @@ def likelihood(model, x, y, ox, oy) -> np.ndarray:
 
 
 class Network:
-    """Edges with grids, followers and cached routes."""
+    """Edges, each with its points (x, y), with grids, followers and cached routes."""
+
+    #: Bytes of candidates that are cached at once.
+    CACHE = 256 << 20
+    CELL = 100.0
 
     def __init__(self, u, v, k, geoms, refine: float = 1.0):
         order = sorted(range(len(u)), key=lambda i: (int(u[i]), int(v[i]), int(k[i])))
         self.edges = [(int(u[i]), int(v[i]), int(k[i])) for i in order]
-        self.points = [np.array([(p["x"], p["y"]) for p in geoms[i]], float) for i in order]
+        self.points = [np.array(geoms[i], float).reshape(-1, 2) for i in order]
         self.number = {e: i for i, e in enumerate(self.edges)}
         steps = [np.hypot(*np.diff(p, axis=0).T) for p in self.points]
         self.along = [np.concatenate([[0.0], np.cumsum(s)]) for s in steps]
@@ -69,6 +73,13 @@ class Network:
         self.follow = [[j for j in leaving.get(v, []) if not (self.edges[j][1] == u and self.edges[j][2] == k)] for u, v, k in self.edges]
         self._grids: dict[int, tuple] = {}
         self._fans: dict[tuple, tuple] = {}
+        self._cached = 0
+        self._cells: dict[tuple[int, int], list[int]] = {}
+        for i, p in enumerate(self.points):
+            lo, hi = np.floor(p.min(0) / self.CELL).astype(int), np.floor(p.max(0) / self.CELL).astype(int)
+            for cx in range(lo[0], hi[0] + 1):
+                for cy in range(lo[1], hi[1] + 1):
+                    self._cells.setdefault((cx, cy), []).append(i)
 
     def grid(self, e: int):
         """alpha, x, y, dist of the places on an edge, from its end backwards."""
@@ -102,7 +113,13 @@ class Network:
             flat = [np.concatenate([g[c] for g in parts]) if parts else np.zeros(0) for c in range(4)]
             number = np.repeat(np.arange(len(routes)), sizes)
             edge = np.repeat(np.array([p[-1] for p, _ in routes], int), sizes)
-            self._fans[key] = ([p for p, _ in routes], number, edge, flat[0], flat[1], flat[2], flat[3] + np.repeat([s for _, s in routes], sizes))
+            fan = ([p for p, _ in routes], number, edge, flat[0], flat[1], flat[2], flat[3] + np.repeat([s for _, s in routes], sizes))
+            size = 48 * len(number) + sum(200 + 8 * len(p) for p in fan[0])
+            if self._cached + size > self.CACHE:
+                self._fans.clear()
+                self._cached = 0
+            self._cached += size
+            self._fans[key] = fan
         return self._fans[key]
 
     def candidates(self, e: int, alpha: float, d_max: float, cutoff: int):
@@ -126,7 +143,8 @@ class Network:
     def near(self, ox: float, oy: float, reach: float):
         """Grid places nearer than `reach`: edge, alpha, x, y, distance."""
         parts = []
-        for e in range(len(self.edges)):
+        span = [range(math.floor((o - reach) / self.CELL), math.floor((o + reach) / self.CELL) + 1) for o in (ox, oy)]
+        for e in sorted({e for cx in span[0] for cy in span[1] for e in self._cells.get((cx, cy), ())}):
             p = self.points[e]
             if p[:, 0].min() - reach > ox or p[:, 0].max() + reach < ox or p[:, 1].min() - reach > oy or p[:, 1].max() + reach < oy:
                 continue
@@ -169,6 +187,13 @@ def draw(rng, weights: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(np.searchsorted(cdf, rng.random(n) * cdf[-1], "right"), len(weights) - 1)
 
 
+def _draw_rows(weights: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A draw from each row of weights by one uniform number, and whether the row has any weight."""
+    cdf = np.cumsum(weights, 1)
+    drawn = (cdf <= uniform[:, None] * cdf[:, -1:]).sum(1)
+    return np.minimum(drawn, weights.shape[1] - 1), cdf[:, -1] > 0
+
+
 def ess(weights: np.ndarray) -> float:
     return 1.0 / float((weights**2).sum())
 
@@ -181,29 +206,51 @@ def initiate(net: Network, model, ox: float, oy: float, n: int, rng, reach: floa
     return Step(edge[i], alpha[i], x[i], y[i], np.zeros(n), _routes([(int(e),) for e in edge[i]]), 0.0, np.full(n, 1.0 / n))
 
 
+def _limits(model, dt: float, d_max, cutoff) -> tuple[float, int]:
+    return model.max_speed * dt if d_max is None else d_max, max(int(dt / 1.5), 10) if cutoff is None else cutoff
+
+
+def _positions(step: Step, rows: np.ndarray):
+    """The rows by position: (rows, edge, alpha)."""
+    if not len(rows):
+        return
+    spots, which = np.unique(np.stack([step.edge[rows].astype(float), step.alpha[rows]], 1), axis=0, return_inverse=True)
+    which = which.ravel()
+    for s, (e, a) in enumerate(spots):
+        yield rows[np.flatnonzero(which == s)], int(e), a
+
+
+def _sums(net: Network, model, step: Step, own, found, dt: float, gradients: bool):
+    """The prior's sum over a position's candidates, and those of its gradients if asked for."""
+    _, _, _, _, x, y, d = found
+    px, py = step.x[own[0]], step.y[own[0]]
+    dev = deviation(model, px, py, x, y, d)
+    prior = gamma(model, d, dt) * dev
+    if not gradients:
+        return prior.sum(), None
+    slope = gamma_gradient(model, d, dt) * dev
+    return prior.sum(), [slope[0].sum(), slope[1].sum(), -(np.abs(np.hypot(x - px, y - py) - d) * prior).sum()]
+
+
 def propose(net: Network, model, step: Step, ox: float, oy: float, dt: float, rng, d_max=None, cutoff=None, multiplier: float = 1.5, crowded=(0.9, 0.1), gradients: bool = False) -> Step:
     """The optimal proposal for all particles; weight is p(observation | particle), 0 if none fits.
     Sets step.z, and step.slopes if gradients are asked for."""
     n = len(step.edge)
-    d_max = model.max_speed * dt if d_max is None else d_max
-    cutoff = max(int(dt / 1.5), 10) if cutoff is None else cutoff
+    d_max, cutoff = _limits(model, dt, d_max, cutoff)
     new = Step(np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.empty(n, object), dt, np.zeros(n))
     step.z, step.slopes = np.zeros(n), np.zeros((n, 3)) if gradients else None
-    spots = np.unique(np.stack([step.edge.astype(float), step.alpha], 1), axis=0, return_inverse=True)
-    which = spots[1].ravel()
-    for s, (e, a) in enumerate(spots[0]):
-        own = np.flatnonzero(which == s)
+    for own, e, a in _positions(step, np.arange(n)):
         px, py = step.x[own[0]], step.y[own[0]]
         far = d_max
         for again in (False, True):
-            routes, number, edge, alpha, x, y, d = net.candidates(int(e), a, far, cutoff)
-            g, dev = gamma(model, d, dt), deviation(model, px, py, x, y, d)
-            prior = g * dev
+            found = net.candidates(e, a, far, cutoff)
+            routes, number, edge, alpha, x, y, d = found
+            prior = gamma(model, d, dt) * deviation(model, px, py, x, y, d)
             if not again:
-                step.z[own] = prior.sum()
+                sums = _sums(net, model, step, own, found, dt, gradients)
+                step.z[own] = sums[0]
                 if gradients:
-                    slope = gamma_gradient(model, d, dt) * dev
-                    step.slopes[own] = [slope[0].sum(), slope[1].sum(), -(np.abs(np.hypot(x - px, y - py) - d) * prior).sum()]
+                    step.slopes[own] = sums[1]
             mass = prior * likelihood(model, x, y, ox, oy)
             total = mass.sum()
             if again or total <= FLOOR or not (mass[d > crowded[0] * far].sum() > crowded[1] * total and d.max() > crowded[0] * far):
@@ -224,16 +271,25 @@ def advance(net, model, step: Step, ox, oy, dt, rng, threshold: float = 1.0, **h
     """One step of the filter: resample if the effective size is under threshold * n, propose, weigh. The step
     given stays as it was but for its z. Failing particles keep weight 0; all failing ends the match."""
     n = len(step.edge)
-    resampled = ess(step.weight) < threshold * n - 1e-9
-    probe = propose(net, model, step, ox, oy, dt, rng, **how) if not resampled else None
-    if resampled:
+    if ess(step.weight) < threshold * n - 1e-9:
         parents = draw(rng, step.weight, n)
         base = step.take(parents)
         probe = propose(net, model, base, ox, oy, dt, rng, **how)
+        step.z, step.slopes = np.zeros(n), None if base.slopes is None else np.zeros((n, 3))
+        step.z[parents] = base.z
+        if base.slopes is not None:
+            step.slopes[parents] = base.slopes
         # Ancestors that weren't drawn need their normalisers as well.
-        propose(net, model, step, ox, oy, dt, generator(0), **how)
+        lost = np.setdiff1d(np.arange(n), parents)
+        d_max, cutoff = _limits(model, dt, how.get("d_max"), how.get("cutoff"))
+        for own, e, a in _positions(step, lost):
+            sums = _sums(net, model, step, own, net.candidates(e, a, d_max, cutoff), dt, how.get("gradients", False))
+            step.z[own] = sums[0]
+            if base.slopes is not None:
+                step.slopes[own] = sums[1]
         weight = probe.weight
     else:
+        probe = propose(net, model, step, ox, oy, dt, rng, **how)
         weight = probe.weight * step.weight
     if not weight.sum() > 0:
         raise MatchFailed("FAILED_ZERO_WEIGHT")
@@ -252,22 +308,21 @@ def backward(net, model, steps: list[Step], rng) -> list[Step]:
         chosen = np.zeros(n, int)
         d_new = np.zeros(n)
         ok = np.zeros(n, bool)
-        for j in range(n):
-            first = nxt.route[j][0]
-            k = np.flatnonzero((now.edge == first) & (base > 0))
+        starts = np.array([r[0] for r in nxt.route])
+        single = np.array([len(r) == 1 for r in nxt.route])
+        alpha0 = np.array([_start_alpha(net, nxt, j) for j in range(n)])
+        uniform = rng.random(n)
+        for e in np.unique(starts).tolist():
+            k = np.flatnonzero((now.edge == e) & (base > 0))
             if not len(k):
                 continue
-            alpha0 = _start_alpha(net, nxt, j)
-            d = nxt.d[j] + np.round((alpha0 - now.alpha[k]) * net.length[first], 5)
-            fits = d >= -ZERO
-            if len(nxt.route[j]) == 1:
-                fits &= now.alpha[k] <= nxt.alpha[j] + OVERTAKE
+            own = np.flatnonzero(starts == e)
+            d = nxt.d[own, None] + np.round((alpha0[own, None] - now.alpha[None, k]) * net.length[e], 5)
+            fits = (d >= -ZERO) & (~single[own, None] | (now.alpha[None, k] <= nxt.alpha[own, None] + OVERTAKE))
             d = np.maximum(d, 0.0)
-            w = np.where(fits, base[k] * gamma(model, d, nxt.dt) * deviation(model, now.x[k], now.y[k], nxt.x[j], nxt.y[j], d), 0.0)
-            if not w.sum() > 0:
-                continue
-            c = draw(rng, w, 1)[0]
-            chosen[j], d_new[j], ok[j] = k[c], d[c], True
+            w = base[None, k] * gamma(model, d, nxt.dt) * deviation(model, now.x[None, k], now.y[None, k], nxt.x[own, None], nxt.y[own, None], d)
+            c, good = _draw_rows(np.where(fits, w, 0.0), uniform[own])
+            chosen[own], d_new[own], ok[own] = k[c], d[np.arange(len(own)), c], good
         if not ok.any():
             raise MatchFailed("FAILED_BACKWARD")
         if not ok.all():  # a failed trajectory becomes a copy of a good one
@@ -308,22 +363,21 @@ def stitch(net, model, fixed: Step, new: list[Step], weights: np.ndarray, rng, z
     adjusted = adjusted / adjusted.sum() if adjusted.sum() > 0 else adjusted
     pick, dist, ok = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
     single = np.array([len(r) == 1 for r in after.route])
-    for j in range(n):
-        e = fixed.edge[j]
-        k = np.flatnonzero((first.edge == e) & (~single | (after.alpha >= fixed.alpha[j] - OVERTAKE)))
+    uniform = rng.random(n)
+    for e in np.unique(fixed.edge).tolist():
+        k = np.flatnonzero(first.edge == e)
         if not len(k):
             continue
-        d = after.d[k] + np.round((first.alpha[k] - fixed.alpha[j]) * net.length[e], 5)
-        keep = d >= -ZERO
-        k, d = k[keep], np.maximum(d[keep], 0.0)
-        if not len(k):
-            continue
-        base = adjusted[k] if adjusted[k].sum() > 0 else np.ones(len(k))
-        w = base * gamma(model, d, after.dt) * deviation(model, fixed.x[j], fixed.y[j], after.x[k], after.y[k], d)
-        if not w.sum() > 0:
-            continue
-        c = draw(rng, w, 1)[0]
-        pick[j], dist[j], ok[j] = k[c], d[c], True
+        own = np.flatnonzero(fixed.edge == e)
+        d = after.d[None, k] + np.round((first.alpha[None, k] - fixed.alpha[own, None]) * net.length[e], 5)
+        fits = (d >= -ZERO) & (~single[None, k] | (after.alpha[None, k] >= fixed.alpha[own, None] - OVERTAKE))
+        d = np.maximum(d, 0.0)
+        # Where no path that fits has a weight of its own, all of them count alike.
+        weight = np.where(fits, adjusted[None, k], 0.0)
+        weight = np.where(weight.sum(1, keepdims=True) > 0, weight, fits)
+        w = weight * gamma(model, d, after.dt) * deviation(model, fixed.x[own, None], fixed.y[own, None], after.x[None, k], after.y[None, k], d)
+        c, good = _draw_rows(w, uniform[own])
+        pick[own], dist[own], ok[own] = k[c], d[np.arange(len(own)), c], good
     idx = np.arange(n)
     if not ok.any():
         raise MatchFailed("FAILED_STITCH")

@@ -63,9 +63,10 @@ grid AS (SELECT u, v, k, grid_idx, dist, dist / length AS alpha,
     CASE WHEN NOT bent THEN ux + dist / length * (vx-ux) ELSE ux + 100 * dist / length END AS x,
     CASE WHEN NOT bent THEN uy + dist / length * (vy-uy) WHEN dist / length <= 0.5 THEN uy + 40 * dist / length ELSE uy + 40 * (1 - dist / length) END AS y FROM grid0),
 ordered AS (SELECT user_id AS traj_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS obs_idx FROM events),
+walk AS (SELECT traj_id, event_id, obs_idx, (300 + 40*obs_idx) % 3200 AS far, CASE WHEN traj_id % 15 % 4 = 2 THEN traj_id % 15 - 1 ELSE traj_id % 15 END AS r FROM ordered),
 obs AS (SELECT traj_id, obs_idx, CAST(15 AS DOUBLE) * obs_idx AS t,
-    CAST(CASE WHEN (300 + 40*obs_idx) % 3600 < 1800 THEN (300 + 40*obs_idx) % 3600 ELSE 3600 - (300 + 40*obs_idx) % 3600 END + event_id*37 % 21 - 10 AS DOUBLE) AS x,
-    CAST(100 * (traj_id % 15) + event_id*53 % 21 - 10 AS DOUBLE) AS y FROM ordered)
+    CAST(CASE WHEN far < 1500 THEN 100 + far WHEN far < 1600 THEN 1600 WHEN far < 3100 THEN 3200 - far ELSE 100 END + event_id*37 % 21 - 10 AS DOUBLE) AS x,
+    CAST(100 * r + CASE WHEN far < 1500 THEN 0 WHEN far < 1600 THEN far - 1500 WHEN far < 3100 THEN 100 ELSE 3200 - far END + event_id*53 % 21 - 10 AS DOUBLE) AS y FROM walk)
 """.replace("{refine}", str(REFINE))
 
 #: Observations beside edges and places in reach, weights, and the particles drawn.
@@ -83,6 +84,6 @@ lik AS (SELECT *, exp(CAST({factor} AS DOUBLE) * ((x-ox)*(x-ox) + (y-oy)*(y-oy))
 weights AS (SELECT *, lik / sum(lik) OVER (PARTITION BY traj_id, obs_idx) AS weight FROM lik),
 cdf AS (SELECT *, sum(weight) OVER (PARTITION BY traj_id, obs_idx ORDER BY u, v, k, grid_idx ROWS UNBOUNDED PRECEDING) AS cdf, sum(weight) OVER (PARTITION BY traj_id, obs_idx) AS total FROM weights),
 asked AS (SELECT DISTINCT traj_id, obs_idx, draw, CAST(('0x' || substr(md5(concat_ws('|', '{seed}', traj_id, obs_idx, 'init', draw)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS uni FROM weights, range({n}) d(draw)),
-particles AS (SELECT traj_id, obs_idx, draw AS particle_id, u, v, k, grid_idx, alpha, x, y FROM asked JOIN cdf USING (traj_id, obs_idx) WHERE uni >= (cdf - weight) / total AND uni < cdf / total)
+particles AS MATERIALIZED (SELECT traj_id, obs_idx, draw AS particle_id, u, v, k, grid_idx, alpha, x, y FROM asked JOIN cdf USING (traj_id, obs_idx) WHERE uni >= (cdf - weight) / total AND uni < cdf / total)
 """.replace("{reach}", repr(5 * MODEL.gps_sd)).replace("{factor}", repr(-0.5 / MODEL.gps_sd**2)).replace("{seed}", str(SEED)).replace("{n}", str(PARTICLES))
 )

@@ -7,6 +7,7 @@ cells of a grid, so that each group only gets the edges it can reach.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -16,22 +17,27 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.model import ExponentialMapMatchingModel
 from pathloom.plans import engine
-from pathloom.sources.network import EDGE
+from pathloom.sources.network import EDGE, EDGES_AT_MOST, collected
 
 UPDATES = ("PF", "BSi")
-NETWORK_EDGES = 200_000
+NETWORK_EDGES = EDGES_AT_MOST
 
 #: A row for each particle and observation: the position, the distance since the observation before
 #: and the edges of the route from there. Failed trajectories have one row with their status.
 PATHS = "traj_id long, particle_id int, obs_idx int, t double, u long, v long, k int, alpha double, x double, y double, d double, route array<struct<u: bigint, v: bigint, k: int>>, ess double, status string"
 
+def _as_points(rows) -> list[list[tuple[float, float]]]:
+    return [[(p["x"], p["y"]) for p in g] for g in rows]
+
+
 _NETWORKS: dict[tuple, engine.Network] = {}
 
 
-def network(edges: pd.DataFrame, refine: float, key=None) -> engine.Network:
-    key = (key, refine, len(edges))
+def network(edges, refine: float, key=None) -> engine.Network:
+    """The network of a mapping or frame with columns u, v, k, geom; one with a key is built once in each worker."""
+    key = (key, refine)
     if key[0] is None or key not in _NETWORKS:
-        net = engine.Network(edges["u"].tolist(), edges["v"].tolist(), edges["k"].tolist(), [list(g) for g in edges["geom"]], refine)
+        net = engine.Network(edges["u"], edges["v"], edges["k"], edges["geom"], refine)
         if key[0] is None:
             return net
         _NETWORKS.clear()
@@ -39,31 +45,33 @@ def network(edges: pd.DataFrame, refine: float, key=None) -> engine.Network:
     return _NETWORKS[key]
 
 
-def _as_points(rows) -> list[list[dict]]:
-    return [[{"x": p["x"], "y": p["y"]} for p in g] for g in rows]
+def shipped(table: DataFrame, most: int = NETWORK_EDGES):
+    """What gives the network to workers: a broadcast value of at most `most` edges, with the key of its content."""
+    edges = collected(table, most)
+    return table.sparkSession.sparkContext.broadcast(edges), hashlib.md5(repr(edges).encode()).hexdigest()
 
 
 def per_trajectory(obs: DataFrame, table: DataFrame, work: Callable, schema: str, refine: float, model, most: int = NETWORK_EDGES) -> DataFrame:
     """`work(network, observations)` for each trajectory, as rows of `schema`."""
     if table.count() <= most:
-        rows = table.select(*EDGE, "geom").orderBy(*EDGE).collect()
-        edges = {"u": [r["u"] for r in rows], "v": [r["v"] for r in rows], "k": [r["k"] for r in rows], "geom": _as_points(r["geom"] for r in rows)}
-        key = hash(str(edges))
+        edges, key = shipped(table, most)
 
         def run(pdf):
-            return work(network(pd.DataFrame(edges), refine, key), pdf.sort_values("obs_idx"))
+            return work(network(edges.value, refine, key), pdf.sort_values("obs_idx"))
 
         # Observations are few bytes but much work: a stated number of partitions isn't coalesced by size.
         parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return obs.repartition(parts, "traj_id").groupBy("traj_id").applyInPandas(run, schema)
+    # A copy without the history that both sides share: their columns must not be taken for one another.
     near = edges_near(obs, table, model)
+    near = obs.sparkSession.createDataFrame([], near.schema).union(near).toDF("near_id", *near.columns[1:])
 
     def both(pdf, edges):
         if not len(pdf):
             return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
-        return work(network(edges, refine), pdf.sort_values("obs_idx"))
+        return work(network(edges.assign(geom=_as_points(edges["geom"])), refine), pdf.sort_values("obs_idx"))
 
-    return obs.groupBy("traj_id").cogroup(near.groupBy("traj_id")).applyInPandas(both, schema)
+    return obs.groupBy("traj_id").cogroup(near.groupBy("near_id")).applyInPandas(both, schema)
 
 
 def edges_near(obs: DataFrame, table: DataFrame, model) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from pathloom.functions.model import ExponentialMapMatchingModel
 from pathloom.plans import engine
-from pathloom.plans.matching import _as_points, network
+from pathloom.plans.matching import network, shipped
 from pathloom.sources.network import EDGE
 
 ROUTES = "traj_id long, obs_idx int, t double, dt double, u long, v long, k int, alpha double, true_x double, true_y double, d double, route array<struct<u: bigint, v: bigint, k: int>>, x double, y double"
@@ -29,12 +29,10 @@ def sampled_routes(table: DataFrame, trajectories: int, observations: int, model
         gaps = [float(x) for x in timestamps]
     else:
         raise ValueError(f"{len(timestamps)} timestamps or intervals do not fit {observations} observations")
-    rows = table.select(*EDGE, "geom").orderBy(*EDGE).collect()
-    edges = {"u": [r["u"] for r in rows], "v": [r["v"] for r in rows], "k": [r["k"] for r in rows], "geom": _as_points(r["geom"] for r in rows)}
-    key = hash(str(edges))
+    edges, key = shipped(table)
 
     def one(pdf):
-        net, traj = network(pd.DataFrame(edges), refine, key), int(pdf["traj_id"].iloc[0])
+        net, traj = network(edges.value, refine, key), int(pdf["traj_id"].iloc[0])
         rng = engine.generator(seed, traj, "sample")
         if starts and traj in starts:
             e, alpha = net.number[starts[traj][:3]], starts[traj][3]

@@ -88,6 +88,29 @@ def edge_grid(table: DataFrame, refine: float = 1.0) -> DataFrame:
     return spots.withColumn("p", geometry.interpolate(F.col("geom"), F.col("alpha"))).select(*EDGE, "grid_idx", "dist", "alpha", "p.x", "p.y")
 
 
+#: Edges that the driver may hold as rows, to send them to all workers.
+EDGES_AT_MOST = 200_000
+
+
+def collected(table: DataFrame, most: int = EDGES_AT_MOST) -> dict[str, list]:
+    """The edges and their points as lists of columns on the driver; a table of more than `most` edges is refused."""
+    rows = table.select(*EDGE, F.transform("geom", lambda p: F.array(p["x"], p["y"])).alias("geom")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a network of more than {most} edges isn't sent to workers whole; match by offline_map_match, which joins it")
+    rows.sort(key=lambda r: (r["u"], r["v"], r["k"]))
+    return {c: [r[c] for r in rows] for c in (*EDGE, "geom")}
+
+
+def write_network(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Nodes and edges as Parquet in one folder."""
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+
+
+def read_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+
+
 def segment_cells(parts: DataFrame, cell: float, reach: float) -> DataFrame:
     """Segments with the cells of their boxes, grown by `reach`: whatever is within reach lies in one."""
 
@@ -114,8 +137,10 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     nodes = rows("node").select(F.col("_id").cast("long").alias("node_id"), value("x").cast("double").alias("x"), value("y").cast("double").alias("y"))
     numbers = F.regexp_extract_all(value("geometry"), F.lit(r"(-?[0-9.]+(?:[eE]-?[0-9]+)?)"), 1)
-    pairs = F.transform(F.sequence(F.lit(0), F.size(numbers) / 2 - 1), lambda i: F.struct(numbers[i.cast("int") * 2].cast("double").alias("x"), numbers[i.cast("int") * 2 + 1].cast("double").alias("y")))
+    many = F.floor(F.coalesce(F.size(numbers), F.lit(0)) / 2).cast("int")
+    point = lambda i: F.struct(numbers[i * 2].cast("double").alias("x"), numbers[i * 2 + 1].cast("double").alias("y"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), point)
     order = W.partitionBy("u", "v").orderBy("__i")
-    found = rows("edge").select(F.col("_source").cast("long").alias("u"), F.col("_target").cast("long").alias("v"), F.coalesce(F.col("_id").cast("int"), F.lit(None)).alias("key"), value("geometry").alias("wkt"), F.when(F.size(numbers) >= 4, pairs).alias("geom"), F.monotonically_increasing_id().alias("__i"))
+    found = rows("edge").select(F.col("_source").cast("long").alias("u"), F.col("_target").cast("long").alias("v"), F.coalesce(F.col("_id").cast("int"), F.lit(None)).alias("key"), value("geometry").alias("wkt"), F.when(many >= 2, pairs).alias("geom"), F.monotonically_increasing_id().alias("__i"))
     edges = found.withColumn("k", F.coalesce("key", F.row_number().over(order) - 1)).select("u", "v", "k", F.col("geom").cast(POINTS).alias("geom"))
     return nodes, edges

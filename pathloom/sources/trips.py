@@ -28,13 +28,19 @@ def of_length(trips: DataFrame, polyline: str = "POLYLINE", least: int = 20, mos
 
 
 def observations(events: DataFrame) -> DataFrame:
-    """(traj_id, obs_idx, t, x, y): a lattice trajectory for each user, one observation an event, 15 s apart."""
+    """(traj_id, obs_idx, t, x, y): a lattice trajectory for each user, one observation an event, 15 s apart.
+
+    It goes round a block of 1500 by 100 m: right along a row, up, left along the next one, which
+    has ways left, and down again, 40 m an observation."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     i = F.row_number().over(order) - 1
     rows = events.select(F.col("user_id").alias("traj_id"), "event_id", i.alias("obs_idx"))
-    far = (300 + 40 * F.col("obs_idx")) % 3600
-    x = F.when(far < 1800, far).otherwise(3600 - far) + F.col("event_id") * 37 % 21 - 10
-    y = 100 * (F.col("traj_id") % 15) + F.col("event_id") * 53 % 21 - 10
+    far = (300 + 40 * F.col("obs_idx")) % 3200
+    row = F.col("traj_id") % 15
+    row = F.when(row % 4 == 2, row - 1).otherwise(row)
+    x = F.when(far < 1500, 100 + far).when(far < 1600, 1600).when(far < 3100, 3200 - far).otherwise(100)
+    y = 100 * row + F.when(far < 1500, 0).when(far < 1600, far - 1500).when(far < 3100, 100).otherwise(3200 - far)
+    x, y = x + F.col("event_id") * 37 % 21 - 10, y + F.col("event_id") * 53 % 21 - 10
     return rows.select("traj_id", "obs_idx", (15.0 * F.col("obs_idx")).alias("t"), x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 

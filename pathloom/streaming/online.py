@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from pathloom.functions.model import ExponentialMapMatchingModel
 from pathloom.plans import engine
-from pathloom.plans.matching import UPDATES, _as_points, network
+from pathloom.plans.matching import UPDATES, network, shipped
 from pathloom.sources.network import EDGE
 
 OUT = "traj_id long, particle_id int, obs_idx int, t double, u long, v long, k int, alpha double, x double, y double, d double, ess double, final boolean, late long, status string"
@@ -29,9 +29,7 @@ def match_stream(obs: DataFrame, table: DataFrame, model: ExponentialMapMatching
     """
     if update not in UPDATES:
         raise ValueError(f"update must be one of {UPDATES}, not {update}")
-    rows = table.select(*EDGE, "geom").orderBy(*EDGE).collect()
-    edges = {"u": [r["u"] for r in rows], "v": [r["v"] for r in rows], "k": [r["k"] for r in rows], "geom": _as_points(r["geom"] for r in rows)}
-    key_of = hash(str(edges))
+    edges, key_of = shipped(table)
 
     def told(net, traj, state, times, lo, hi, final, late):
         parts = []
@@ -46,7 +44,7 @@ def match_stream(obs: DataFrame, table: DataFrame, model: ExponentialMapMatching
 
     def step(key, batches, held):
         traj = key[0]
-        net = network(pd.DataFrame(edges), refine, key_of)
+        net = network(edges.value, refine, key_of)
         state, times, seen, last, late = None, {}, 0, None, 0
         if held.exists:
             blob, seen, last, late = held.get

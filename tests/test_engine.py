@@ -11,14 +11,14 @@ OBS, DT, REACH = [(20, 5), (75, -4), (110, 40), (95, 90)], 15.0, 75.0
 
 
 def lattice(size=3):
-    at = lambda i: {"x": 100.0 * (i % size), "y": 100.0 * (i // size)}
+    at = lambda i: (100.0 * (i % size), 100.0 * (i // size))
     out = []
     for i in range(size * size):
         r, c = divmod(i, size)
         if c < size - 1:
             out += [(i, i + 1, 0, [at(i), at(i + 1)]), (i + 1, i, 0, [at(i + 1), at(i)])]
             if (r + c) % 7 == 0:
-                out.append((i, i + 1, 1, [at(i), {"x": at(i)["x"] + 50, "y": at(i)["y"] + 20}, at(i + 1)]))
+                out.append((i, i + 1, 1, [at(i), (at(i)[0] + 50, at(i)[1] + 20), at(i + 1)]))
         if r < size - 1:
             out += [(i, i + size, 0, [at(i), at(i + size)]), (i + size, i, 0, [at(i + size), at(i)])]
     return engine.Network(*zip(*out), refine=20.0)

@@ -50,8 +50,8 @@ def test_routes_from_all_edges(small):
 
 def test_queries_start_from_every_edge(spark):
     edges = {(r.u, r.v, r.k) for r in network.lattice_edges(spark).collect()}
-    assert {(r.u, r.v, r.k) for r in catalog.QUERIES["s2_edge_geometry_of_all"](spark, SF).collect()} == edges
-    whole = catalog.QUERIES["g1_possible_routes_of_all"](spark, SF).select("su", "sv", "sk", "d_end").collect()
+    assert {(r.u, r.v, r.k) for r in catalog.QUERIES["s2_edge_geometry"](spark, SF).collect()} == edges
+    whole = catalog.QUERIES["g1_possible_routes"](spark, SF).select("su", "sv", "sk", "d_end").collect()
     assert {(r.su, r.sv, r.sk) for r in whole} == edges
-    full = catalog.QUERIES["g1_full_length_routes_of_all"](spark, SF).collect()
+    full = catalog.QUERIES["g1_full_length_routes"](spark, SF).collect()
     assert {(r.su, r.sv, r.sk): r.n for r in full} == Counter((r.su, r.sv, r.sk) for r in whole if r.d_end >= 300)
