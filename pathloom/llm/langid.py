@@ -4,12 +4,13 @@ A suffix automaton of each language's labelled text gives the longest match at a
 A text is cut greedily into the longest phrases that the language's text contains; c
 phrases over n bytes against a training text of N bytes cost c * log2(N) / n bits a byte,
 and the language of the fewest bits wins. Texts are read in lower case, bytes that are no
-letters as one blank a run. A phrase ends at each multiple of BLOCK bytes, which lets
-thousands of blocks walk through all automata in step, one numpy gather a byte.
+letters as one blank a run. Texts are walked through in blocks of BLOCK bytes, thousands of them
+in step through all automata, one numpy gather a byte; a second walk carries the state at the end of each
+block into the next one until both walks agree, so that phrases go on across blocks.
 
-The labelled text is a sample: for each language rows in the order of a seeded hash, the
-first ROW characters of each, until SAMPLE bytes (less where more than LANGUAGES_FULL
-languages share the memory). Everything else reads whole texts.
+The labelled text is a sample of whole rows: for each language its rows of at most ROW
+characters in the order of a seeded hash, until they have SAMPLE bytes; a language without such
+rows has its shortest one. Everything else reads all rows. A language's automaton takes about 12 MB.
 
 Defined results
 ---------------
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from .shared import held_out
 
-SAMPLE, ROW, BLOCK, LANGUAGES_FULL, SEED = 24_000, 2_000, 1024, 24, 7
+SAMPLE, ROW, BLOCK, SEED = 24_000, 2_000, 1024, 7
 UNDETERMINED = "und"
 BLANK, UNSEEN = 0, 1
 _CACHE: dict[int, "Models"] = {}
@@ -136,7 +137,35 @@ class Models:
             got = self.table.take(place[:, :k] + padded[begin[:k] + i])
             place[:, :k] = got >> 2
             ended[:, :k] += got & 3
-        ended += place != np.array(self.start, np.int32)[:, None]
+        # The blocks were entered between phrases; now each is entered in the state that the one before ended in.
+        starts = np.array(self.start, np.int32)
+        spot = np.empty(len(order), np.int64)
+        spot[order] = np.arange(len(order))
+        before = np.where(nth[order] > 0, spot[order - 1], -1)
+        after = np.full(len(order), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        fresh, final = place.copy(), place
+        more = np.zeros_like(ended)
+        lang, block = np.nonzero((before >= 0) & (fresh[:, before] != starts[:, None]))
+        while len(lang):
+            a, b = final[lang, before[block]], starts[lang]
+            gained, end = np.zeros(len(lang), np.int32), fresh[lang, block]
+            alive = np.arange(len(lang))
+            for i in range(int(size[block].max())):
+                alive = alive[(a[alive] != b[alive]) & (i < size[block[alive]])]
+                if not len(alive):
+                    break
+                code = padded[begin[block[alive]] + i]
+                one, two = self.table.take(a[alive] + code), self.table.take(b[alive] + code)
+                a[alive], b[alive] = one >> 2, two >> 2
+                gained[alive] += (one & 3) - (two & 3)
+            end = np.where(a != b, a, end)
+            more[lang, block] = gained
+            changed = (end != final[lang, block]) & (after[block] >= 0)
+            final[lang, block] = end
+            lang, block = lang[changed], after[block[changed]]
+        ended += more
+        ended += (final != starts[:, None]) & (after < 0)
         for j in range(len(self.names)):
             out[:, j] = np.bincount(row, ended[j], n)
         return out
@@ -163,20 +192,24 @@ def samples(docs: DataFrame, doc_id: str, text: str, lang: str, size: int = SAMP
     counts = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
     if not counts:
         return []
-    size = int(size * min(1, LANGUAGES_FULL / len(counts)))
     # Rows of 200 characters on average would do; four times as many are drawn.
     wanted = 4 * -(-size // 200)
-    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, wanted / n))])
+    rows = known.withColumn("n", F.length("x")).where("x is not null")
+    short = rows.where((F.col("n") <= row) & F.col("x").rlike(r"\p{L}"))
+    few = {r["l"]: r["count"] for r in short.groupBy("l").count().collect()}
+    share = F.create_map(*[F.lit(v) for name in counts for v in (name, min(1.0, wanted / max(1, few.get(name, 0))))])
     draw = F.pmod(F.xxhash64(F.lit(SEED), "i"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.where("x is not null").where(draw < share[F.col("l")]).select("l", F.xxhash64(F.lit(SEED), "i").alias("h"), F.substring("x", 1, row).alias("x"))
+    drawn = short.where(draw < share[F.col("l")]).select("l", F.xxhash64(F.lit(SEED), "i").alias("h"), "x").collect()
+    if len(few) < len(counts):
+        lone = rows.where(~F.col("l").isin(list(few)) & F.col("x").rlike(r"\p{L}"))
+        drawn += lone.groupBy("l").agg(F.min(F.struct("n", F.xxhash64(F.lit(SEED), "i").alias("h"), "x")).alias("r")).select("l", "r.h", "r.x").collect()
     out: dict[str, dict[str, None]] = {}
     left = dict.fromkeys(counts, size)
-    for r in sorted(drawn.collect(), key=lambda r: (r["l"], r["h"], r["x"])):
+    for r in sorted(drawn, key=lambda r: (r["l"], r["h"], r["x"])):
         own = out.setdefault(r["l"], {})
-        if left[r["l"]] > 0 and r["x"] not in own and any(c.isalpha() for c in r["x"]):
-            part = r["x"].encode()[: left[r["l"]]].decode(errors="ignore")
-            own[r["x"]] = part
-            left[r["l"]] -= len(part.encode()) + 1
+        if left[r["l"]] > 0 and r["x"] not in own:
+            own[r["x"]] = r["x"]
+            left[r["l"]] -= len(r["x"].encode()) + 1
     return [(name, "\n".join(own.values())) for name, own in sorted(out.items()) if own]
 
 

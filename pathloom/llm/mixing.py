@@ -17,7 +17,7 @@ Defined results
 ---------------
 Null domains, languages and sources are called ''. Null and blank texts hold no tokens
 and are never taken; neither are documents of weightless nodes. Repeated rows are each a
-document; ties of the hash go by doc_id, null first. A budget above all capacity takes
+document; ties of the hash go by doc_id, null first, then by the carried columns. A budget above all capacity takes
 every document for all epochs. An empty table gives an empty result. Carried columns that
 clash with results give way.
 """
@@ -29,6 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import cut
 
@@ -36,6 +37,8 @@ LEAF = ("domain", "lang", "source")
 #: Leaves that are broadcast to the documents; more are joined by key.
 FEW_LEAVES = 50_000
 ROWS_OF_BUCKET, LEAST_BITS = 65_536, 8
+#: Types of carried columns that break ties.
+ORDERED = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType)
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
@@ -111,20 +114,23 @@ def mixed(
     small = (lambda df: F.broadcast(df)) if facts["n"] <= FEW_LEAVES else (lambda df: df)
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, (facts["docs"] or 1) / ROWS_OF_BUCKET))))
 
-    spot = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    rows = base.where("n_tokens > 0").join(small(plan.select(*LEAF, "full", "rest")), list(LEAF)).withColumn("__h", spot).withColumn("__b", F.shiftright("__h", 60 - bits))
-    sums = rows.groupBy(*LEAF, "rest", "__b").agg(F.sum("n_tokens").alias("__t"))
+    spot = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    rows = base.where("n_tokens > 0").join(small(plan.select(*LEAF, F.col("full").alias("__full"), F.col("rest").alias("__rest"))), list(LEAF)).withColumn("__h", spot).withColumn("__b", F.shiftright("__h", 60 - bits))
+    sums = rows.groupBy(*LEAF, "__rest", "__b").agg(F.sum("n_tokens").alias("__t"))
     upto = W.partitionBy(*LEAF).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
     sums = sums.withColumn("__upto", F.sum("__t").over(upto))
     # The first bucket that reaches the rest holds the prefix's end; the buckets before it are taken whole.
-    edge = sums.where(F.col("__upto") >= F.col("rest")).groupBy(*LEAF).agg(F.min(F.struct("__b", (F.col("__upto") - F.col("__t")).alias("before"))).alias("__e"))
+    edge = sums.where(F.col("__upto") >= F.col("__rest")).groupBy(*LEAF).agg(F.min(F.struct("__b", (F.col("__upto") - F.col("__t")).alias("before"))).alias("__e"))
     edge = cut(edge.select(*LEAF, F.col("__e.__b").alias("__edge"), F.col("__e.before").alias("__before")))
     rows = rows.join(small(edge), list(LEAF))
-    out = [c for c in base.columns]
+    made = ("full_epochs", "prefix_tokens", "taken_tokens")
+    out = [F.col(f"`{c}`") for c in base.columns if c.lower() not in made]
+    # Rows of one id and size are told apart by what else can be put in order.
+    ties = [F.col(f"`{c.name}`") for c in base.schema if c.name.lower() not in ("doc_id", "n_tokens", *LEAF) and isinstance(c.dataType, ORDERED)]
     whole = rows.where(F.col("__b") != F.col("__edge")).withColumn("prefix_tokens", F.when(F.col("__b") < F.col("__edge"), F.col("n_tokens")).otherwise(F.lit(0).cast("long")))
-    order = W.partitionBy(*LEAF).orderBy("__h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*LEAF).orderBy("__h", "doc_id", "n_tokens", *ties).rowsBetween(W.unboundedPreceding, -1)
     partly = rows.where(F.col("__b") == F.col("__edge")).withColumn("__start", F.col("__before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    partly = partly.withColumn("prefix_tokens", F.least(F.col("n_tokens"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("__start"))))
-    taken = whole.select(*out, F.col("full").alias("full_epochs"), "prefix_tokens").union(partly.select(*out, F.col("full").alias("full_epochs"), "prefix_tokens"))
+    partly = partly.withColumn("prefix_tokens", F.least(F.col("n_tokens"), F.greatest(F.lit(0).cast("long"), F.col("__rest") - F.col("__start"))))
+    taken = whole.select(*out, F.col("__full").alias("full_epochs"), "prefix_tokens").union(partly.select(*out, F.col("__full").alias("full_epochs"), "prefix_tokens"))
     taken = taken.withColumn("taken_tokens", F.col("full_epochs") * F.col("n_tokens") + F.col("prefix_tokens"))
     return taken.where("taken_tokens > 0")

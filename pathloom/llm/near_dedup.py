@@ -9,7 +9,7 @@ Sizes
 -----
 Equal sets meet first, so that a class of copies is one row from then on. A pair as
 similar as asked shares at least a part ALPHA of the retained values (but for a chance
-below one in a million at k = 48), so it also shares one of the rarest values of each
+of 3e-7 at k = 48, as it has for the estimate; together below one in a million), so it also shares one of the rarest values of each
 side, a prefix of its values in the order of list length; only these are looked up. Lists
 of up to `LIST` classes give their pairs. Longer lists give one pair for each class, with
 the list's most central class, whose own values are in the longest lists. Classes that this left in another component than most of
@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .shared import components, cut, drop
+from .shared import beside, components, cut, drop
 
 SHINGLE, SKETCH, LIST, ALPHA = 5, 48, 16, 0.4
 #: Similarity asked for, as a fraction: NUM * size of the intersection >= DEN * size of the union.
 NUM, DEN = 100, 75
-#: Estimates from sketches must come this near the similarity asked for (five standard deviations).
-ESTIMATE = 0.44
+#: Estimates from sketches must come this near the similarity asked for: 20 of 48 values, below which a pair at the threshold
+#: comes with a chance of P(Bin(48, 0.75) <= 19) = 3e-7.
+ESTIMATE = 0.40
 
 
 def shingle_sets(texts: at.Texts, k: int = SHINGLE, table: np.ndarray = at.NOT_SPACE) -> list[np.ndarray]:
@@ -178,7 +179,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int = SKETCH) -> DataFram
     """The pairs whose union's sketch, the k smallest values of both, has a large enough part in both;
     that part is `e`."""
     own = classes.select("id", "sketch")
-    both = pairs.join(own.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
+    one = beside(pairs, own.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a", "b")
+    both = beside(one, own.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b", "a", pairs)
     union = F.slice(F.sort_array(F.transform(F.array_union("sa", "sb"), _unsigned)), 1, k)
     common = F.size(F.array_intersect(union, F.transform(F.array_intersect("sa", "sb"), _unsigned)))
     return both.select("a", "b", (common / F.size(union)).alias("e")).where(F.col("e") >= ESTIMATE)
@@ -205,7 +207,8 @@ def _unsigned(x):
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of which the full sets (id, shingles) are similar enough."""
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+    one = beside(pairs, sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a", "b")
+    both = beside(one, sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b", "a", pairs)
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * NUM >= (F.size("sa") + F.size("sb") - common) * DEN).select("a", "b")
 
@@ -222,35 +225,47 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links, itself included), kept (doc_id = component_id)."""
-    thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(sketches(thin, carry=["doc_id"]))
+    return _placed(docs, doc_id, text).drop("same_text")
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The result with a hash of each row's text, `same_text`."""
+    thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = cut(sketches(thin.withColumn("same_text", F.xxhash64("text")), carry=["doc_id", "same_text"]))
     full = rows.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(F.col("n_shingles").alias("n"), F.col("d1").alias("id"), "d2").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
 
     pairs, stars, long = candidates(classes)
-    near = cut(estimated(pairs.union(stars).distinct(), classes))
+    met = cut(pairs.union(stars).distinct())
+    near = cut(estimated(met, classes))
+    drop(met)
     ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     sets = _sets_of(thin, ends, classes)
-    links = cut(verified(most_likely(near), sets))
+    likely = cut(most_likely(near))
+    links = cut(verified(likely, sets))
     found = components(links)
+    drop(likely, links)
     # A link within a component changes nothing: only the other pairs are left to verify.
-    more = cut(verified(apart(near, found), sets))
-    drop(near, sets)
+    others = cut(apart(near, found))
+    more = cut(verified(others, sets))
+    drop(near, sets, others)
     if more.take(1):
         found = merged(found, more)
     rest = residual(long, found)
     if rest is not None:
         sets = _sets_of(thin, rest, classes)
-        more = cut(verified(remaining(rest, sets), sets))
+        others = cut(remaining(rest, sets))
+        more = cut(verified(others, sets))
         if more.take(1):
             found = merged(found, more)
+        drop(rest, sets, others)
     placed = cut(classes.join(found, classes.id == found.node, "left").select("n", "id", "d2", "first", F.coalesce("component", "id").alias("c")))
     least = cut(placed.groupBy("c").agg(F.min("first").alias("component_id")))
     named = cut(placed.join(least, "c").select(F.col("n").alias("n_shingles"), F.col("id").alias("d1"), "d2", "component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    out = rows.select("doc_id", "same_text", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
+    out = out.select("doc_id", "same_text", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -262,6 +277,7 @@ def _sets_of(thin: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are kept, with all their columns; of rows with one doc_id and equal text, all."""
-    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    """The documents that are kept, with all their columns; of rows with one doc_id and equal text, all. Of rows
+    that share a doc_id but not a text each is judged by its own text."""
+    gone = _placed(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("same_text").alias("__text")).distinct()
+    return docs.join(gone, (docs[doc_id].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text].cast("string")) == F.col("__text")), "left_anti")

@@ -22,6 +22,7 @@ is null. Other columns aren't read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,16 +140,31 @@ def learned(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     draw = F.pmod(F.xxhash64(F.lit(SEED), "i"), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(draw < share[F.col("y")])  # about per_class rows a class: small enough to broadcast
     texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("x")).join(F.broadcast(drawn), "i")
-    rows = at.map_text(texts, _featuring, "f array<int>", "x", ["i", "y"]).collect()
-    rows.sort(key=lambda r: (r["i"], r["y"], r["f"]))
-    order = np.random.default_rng(SEED).permutation(len(rows))
-    return Model([np.array(rows[k]["f"], np.int64) for k in order], np.array([rows[k]["y"] for k in order], int), counts.get(1, 0) / sum(counts.values()))
+    rows = at.map_text(texts, _featuring, "f binary", "x", ["i", "y"])
+    return fitted(rows, counts.get(1, 0) / sum(counts.values()))
+
+
+def fitted(rows: DataFrame, prior: float) -> Model:
+    """The model of rows (i, y, f), fitted in one task; only its weights come to the driver."""
+
+    def run(batches):
+        found = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("i", "y", "f"))))
+        order = np.random.default_rng(SEED).permutation(len(found))
+        model = Model([np.frombuffer(found[k][2], "<i4").astype(np.int64) for k in order], np.array([found[k][1] for k in order], int), prior)
+        columns = [[model.weights.tobytes()], [model.squares.tobytes()], [float(model.bias)], [float(model.curve[0])], [float(model.curve[1])]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["weights", "squares", "bias", "slope", "shift"])
+
+    told = rows.repartition(1).mapInArrow(run, "weights binary, squares binary, bias double, slope double, shift double").collect()
+    model = Model([], np.zeros(0, int), prior)
+    if told:
+        model.weights, model.squares = (np.frombuffer(told[0][c], float) for c in ("weights", "squares"))
+        model.bias, model.curve = told[0]["bias"], (told[0]["slope"], told[0]["shift"])
+    return model
 
 
 def _featuring():
     def work(texts):
-        rows = features(texts)
-        return {"f": at.lists(np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows]))}
+        return {"f": pa.array([r.astype("<i4").tobytes() for r in features(texts)], pa.binary())}
 
     return work
 

@@ -16,11 +16,15 @@ _KEPT: dict[str, SparkSession] = {}
 def scratch_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, shared by the driver and all executors.
 
-    Only where the setting is absent, as in local tests, a temporary folder takes its place.
+    Where the setting is absent, a local session, as in tests, gets a temporary folder; a cluster is refused, as its
+    machines share no such folder.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
