@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, langid, mixing, near_dedup, pii
+from pathloom.llm import decontaminate, langid, mixing, near_dedup, pii, shared
 from pathloom.llm.registry import MIX, domain_of
 
 
@@ -36,12 +36,16 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents taken, with all their columns and what is taken of them."""
-    names = [c for c in docs.columns if c not in ("doc_id", "lang", "source")]
-    renamed = docs.withColumn("__lang", F.col("lang")).withColumn("__source", F.col("source"))
-    base = mixing.with_leaf(renamed, domain_of(), carry=[*names, "__lang", "__source"])
+    """The documents taken, with all their columns and what is taken of them. Columns of the documents that
+    are named as a result (domain, n_tokens, full_epochs, prefix_tokens, taken_tokens) give way to it."""
+    made = ["domain", "n_tokens", "full_epochs", "prefix_tokens", "taken_tokens"]
+    names = [c for c in docs.columns if c.lower() not in ("doc_id", *made)]
+    # Carried columns have names that no step uses, whatever the documents call them.
+    held = {f"__column{i}": c for i, c in enumerate(names)}
+    renamed = docs.select("*", *[F.col(f"`{c}`").alias(n) for n, c in held.items()])
+    base = shared.cut(mixing.with_leaf(renamed, domain_of(), carry=list(held)))
     out = mixing.mixed(base, **MIX)
-    return out.select("doc_id", *names, F.col("__lang").alias("lang"), F.col("__source").alias("source"), "domain", "n_tokens", "full_epochs", "prefix_tokens", "taken_tokens")
+    return out.select("doc_id", *[F.col(n).alias(c) for n, c in held.items()], *made)
 
 
 STAGES = [
@@ -56,8 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents, one after another."""
+    """The stages applied to the documents, one after another; each one's result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = shared.cut(stage(spark, docs, sf_dir))
     return docs
