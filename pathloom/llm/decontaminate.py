@@ -6,9 +6,11 @@ the benchmark's, and each meeting is extended word by word to both sides, up to
 window of 13 words around it ends. Runs of 13 or more shared words are hits. An item of
 fewer words is one window and is looked up whole, since no window of 13 fits into it.
 
-The benchmark is the stated query set. It is read in blocks of at most BLOCK bytes of
-text, whose index (about six times that) goes to every task; each further block is a
-further pass over the documents in the same stage, whatever the benchmark's size.
+The benchmark is the stated query set, of any size. Its distinct items are read in blocks
+of at most about BLOCK bytes of text, or one item, whose index (about six times that) goes
+to every task, and PASS blocks are looked up in one pass over the documents. Between passes
+the documents and their hits so far are written as a table, so that the driver and the
+executors hold the blocks of one pass only (the driver those of the next one beside them).
 
 Defined results
 ---------------
@@ -21,16 +23,21 @@ a result give way to it.
 
 from __future__ import annotations
 
+from itertools import batched
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
+from . import shared
 
 WINDOW, GRAM = 13, 5
 #: Bytes of benchmark text in one block.
 BLOCK = 8 << 20
+#: Blocks that are looked up in one pass over the documents.
+PASS = 4
 NO_GRAM = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -151,14 +158,24 @@ class Index:
         return (p - left)[long], (p + right)[long], item[long]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[tuple[list, list]]:
-    """The benchmark's ids, as text, and texts, in blocks of about `most` bytes or one row."""
+def blocks(benchmark: DataFrame, item_id: str, text: str, most: int):
+    """The benchmark's distinct ids, as text, and texts, in blocks of about `most` bytes or one row, one after another.
+
+    Blocks are ranges of a hash, by which the rows lie in the table, so that reading one reads little else.
+    """
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("x")).where("x is not null")
     size = items.agg(F.sum(F.octet_length("x")).alias("s")).first()["s"] or 0
-    n = max(1, -(-2 * size // most)) if size > most else 1
+    if size <= most:
+        rows = items.collect()
+        yield [r["i"] for r in rows], [r["x"] for r in rows]
+        return
+    n = -(-2 * size // most)
+    spread = items.distinct().withColumn("b", F.pmod(F.xxhash64("i", "x"), F.lit(n)))
+    table = shared.cut(spread.repartitionByRange("b").sortWithinPartitions("b"))
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "x"), F.lit(n)) == b).collect()
+        rows = table.where(F.col("b") == b).collect()
         yield [r["i"] for r in rows], [r["x"] for r in rows]
+    shared.drop(table)
 
 
 def _finder(ids, items):
@@ -190,20 +207,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in made]
     df = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").cast("string").alias("__t"))
-    n = 0
-    for ids, items in blocks(benchmark, item_id, item_text, block):
-        df = at.map_text(df, _finder(ids, items), "runs array<long>, items array<string>, words long", "__t", None if n else df.columns)
-        df = df.withColumnsRenamed({"runs": f"__r{n}", "items": f"__i{n}", "words": "__w"}) if not n else df.withColumnsRenamed({"runs": f"__r{n}", "items": f"__i{n}"}).drop("words")
-        n += 1
-    runs = F.array_sort(F.concat(*[f"__r{i}" for i in range(n)]))
-    names = F.array_sort(F.array_distinct(F.concat(*[f"__i{i}" for i in range(n)])))
+    found = df.withColumns({"__w": F.lit(0).cast("long"), "__runs": F.expr("cast(array() as array<long>)"), "__names": F.expr("cast(array() as array<string>)")})
+    read = []
+    for number, part in enumerate(batched(blocks(benchmark, item_id, item_text, block), PASS)):
+        if number:
+            found = shared.cut(found)
+            if read:
+                shared.drop(read.pop())
+            read.append(found)
+        for ids, items in part:
+            found = at.map_text(found, _finder(ids, items), "runs array<long>, items array<string>, words long", "__t")
+            runs, names = F.concat("__runs", "runs"), F.array_distinct(F.concat("__names", "items"))
+            found = found.withColumns({"__w": F.col("words"), "__runs": runs, "__names": names}).drop("runs", "items", "words")
+    df = found.withColumns({"__runs": F.array_sort("__runs"), "__names": F.array_sort("__names")})
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
 
     def cover(done, run):
         start, stop = F.shiftright(run, 32), run.bitwiseAND(F.lit((1 << 32) - 1))
         return F.struct(F.greatest(done["end"], stop).alias("end"), (done["n"] + F.greatest(F.lit(0).cast("long"), stop - F.greatest(start, done["end"]))).alias("n"))
 
-    df = df.withColumns({"__runs": runs, "__names": names})
     df = df.withColumn("__hit", F.aggregate("__runs", zero, cover)["n"])
     contaminated = (F.col("__hit") > 0) & (F.col("__hit") * 20 >= F.col("__w"))
     return df.select(

@@ -284,7 +284,7 @@ def test_contamination_equals_brute_force(spark, docs):
         words = ALNUM.findall((r["text"] or "").translate(LOW))
         for i in range(len(words) - min(13, len(words)) + 1) if words else []:
             windows.setdefault(tuple(words[i : i + min(13, len(words))]), set()).add(r["item_id"])
-    for block in (decontaminate.BLOCK, 4000):
+    for block in (decontaminate.BLOCK, 4000):  # the second takes many passes
         for r in decontaminate.contamination(docs, bench, block=block).collect():
             words, hit, items = ALNUM.findall((r["text"] or "").translate(LOW)), set(), set()
             for m in {len(k) for k in windows}:
