@@ -36,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 WINDOW = 20
 #: Character classes of candidate strings, with the entropy in bits a character that a window needs.
-CLASSES = ((re.compile(r"[0-9a-fA-F]{20,}"), 3.0), (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 4.05))
+CLASSES = ((re.compile(r"[0-9a-fA-F]{20,}"), 3.0), (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7))
 #: A candidate that one of these matches whole is no secret.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
@@ -44,8 +44,9 @@ ALLOW = (
     r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-].*",  # time stamps
     r"[a-z]+([_/-][a-z]+)*([_/-]?[0-9]{1,4})?",  # words joined by signs, with a number
     r"[A-Z]+([_/-][A-Z]+)*([_/-]?[0-9]{1,4})?",
-    r"/?[A-Za-z]+[0-9]{0,4}(/[A-Za-z]+[0-9]{0,4})+/?",  # paths
-    r".*(EXAMPLE|example|xxxx|XXXX|0000000000|1234567890).*",
+    # Names, words and numbers joined by signs: paths, versions, settings
+    r"[/_=+-]*+([A-Za-z]++[0-9]{0,6}+|[0-9]++)([/_=+-]++([A-Za-z]++[0-9]{0,6}+|[0-9]++))++[/_=+-]*+",
+    r".*(EXAMPLE|example|xxxx|XXXX|0000000000|1234567890|01234567|abcdefgh|ABCDEFGH).*",
     r"[0-9]+([-_/=+][0-9]+)*",  # numbers
 )
 
