@@ -69,12 +69,18 @@ TOGETHER, SALTS = 256, 64
 
 def beside(pairs: DataFrame, rows: DataFrame, key: str, other: str, counted: DataFrame | None = None) -> DataFrame:
     """`pairs` joined with `rows` on `key`. A key in many pairs is split by the hash of `other`, and its row copied to each part, so
-    that no task gets all pairs of one key; parts are looked up by salted keys. Rows hold texts, so none are broadcast at any size. `counted`, the pairs by default, tells how many there are."""
+    that no task gets all pairs of one key. Such keys, at most one for TOGETHER pairs, are counted and told to all tasks, so that pairs and
+    rows are each shuffled once; where they are too many for that, parts are looked up by salted keys. Rows hold texts, so none are
+    broadcast at any size. `counted`, the pairs by default, tells how many there are."""
     many = (pairs if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > TOGETHER)
-    many = many.select(key, F.ceil(F.col("__n") / TOGETHER).alias("__parts"))
-    salted = many.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    one = pairs.withColumn("__salt", F.pmod(F.hash(other), F.lit(SALTS))).join(salted, [key, "__salt"], "left")
-    one = one.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(other), F.col("__parts")), F.lit(0).cast("long"))).drop("__salt", "__parts")
+    many = cut(many.select(key, F.ceil(F.col("__n") / TOGETHER).alias("__parts")))
+    if many.count() <= FEW:
+        many = F.broadcast(many)
+        one = pairs.join(many, key, "left")
+    else:
+        salted = many.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        one = pairs.withColumn("__salt", F.pmod(F.hash(other), F.lit(SALTS))).join(salted, [key, "__salt"], "left").drop("__salt")
+    one = one.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(other), F.col("__parts")), F.lit(0).cast("long"))).drop("__parts")
     last = F.coalesce(F.col("__parts") - 1, F.lit(0).cast("long"))
     two = rows.join(many, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__parts")
     return one.join(two.hint("merge"), [key, "__part"]).drop("__part")
