@@ -1,4 +1,8 @@
-"""State-space models as immutable settings that emit Column expressions."""
+"""State-space models as immutable settings that emit Column expressions, and their values as arrays for the numpy engine.
+
+A law of one's own for distances is a subclass with both forms of its prior: `distance_prior` and what goes with it for
+plans, `prior_values` for matching, replays and streams, and `prior_slopes` for learning.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import abc
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,12 +51,30 @@ class MapMatchingModel(abc.ABC):
             return value
         return F.when(square < F.lit(float(self.likelihood_d_truncate) ** 2), value).otherwise(F.lit(0.0))
 
+    def deviation_values(self, px, py, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """`deviation_prior` of arrays."""
+        return np.exp(-(self.deviation_beta or 0.0) * np.abs(np.hypot(x - px, y - py) - d))
+
+    def likelihood_values(self, x: np.ndarray, y: np.ndarray, ox, oy) -> np.ndarray:
+        """`likelihood` of arrays."""
+        square = (x - ox) ** 2 + (y - oy) ** 2
+        out = np.exp(-0.5 * square / self.gps_sd**2)
+        return out if math.isinf(self.likelihood_d_truncate) else out * (square < self.likelihood_d_truncate**2)
+
     def with_parameters(self, **values) -> MapMatchingModel:
         return replace(self, **values)
 
     @abc.abstractmethod
     def distance_prior(self, d: Column, dt) -> Column: ...
 
+    @abc.abstractmethod
+    def prior_values(self, d: np.ndarray, dt: float) -> np.ndarray:
+        """`distance_prior` of an array of distances."""
+
+    def prior_slopes(self, d: np.ndarray, dt: float) -> np.ndarray:
+        """Two rows, the prior's gradients by the two parameters that learning fits; only learning asks for them."""
+        raise NotImplementedError(f"{type(self).__name__} has no prior_slopes, so it can't be learned")
+
     @abc.abstractmethod
     def distance_prior_gradient(self, d: Column, dt) -> dict[str, Column]: ...
 
@@ -84,6 +107,20 @@ class ExponentialMapMatchingModel(MapMatchingModel):
     def zero_dist_prob(self, dt) -> Column:
         return F.least(F.lit(MAX_ZERO_PROB), F.greatest(F.lit(MIN_ZERO_PROB), F.exp(-F.lit(float(self.zero_dist_prob_neg_exponent)) * _c(dt))))
 
+    def _zero_prob(self, dt: float) -> float:
+        return min(max(math.exp(-self.zero_dist_prob_neg_exponent * dt), MIN_ZERO_PROB), MAX_ZERO_PROB)
+
+    def prior_values(self, d: np.ndarray, dt: float) -> np.ndarray:
+        p = self._zero_prob(dt)
+        return np.where(d > ZERO, (1 - p) * self.lambda_speed * np.exp(-self.lambda_speed * d / dt) / dt, p)
+
+    def prior_slopes(self, d: np.ndarray, dt: float) -> np.ndarray:
+        """By the exponent of not moving, and by the speed's rate."""
+        p = self._zero_prob(dt)
+        fade = np.exp(-self.lambda_speed * d / dt)
+        moved = d > ZERO
+        return np.stack([p * np.where(moved, self.lambda_speed * fade, -dt), np.where(moved, (1 - p) * fade / dt * (1 - self.lambda_speed * d / dt), 0.0)])
+
     def distance_prior(self, d: Column, dt) -> Column:
         rate = F.lit(float(self.lambda_speed))
         moved = (1 - self.zero_dist_prob(dt)) * rate * F.exp(-rate * d / _c(dt)) / _c(dt)

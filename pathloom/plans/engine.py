@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
-from pathloom.functions.model import FLOOR, MAX_ZERO_PROB, MIN_ZERO_PROB, ZERO, ExponentialMapMatchingModel
+from pathloom.functions.model import FLOOR, ZERO
 
 #: The slack for overtaking, and the least prior that a stitch divides by.
 OVERTAKE, LEAST_PRIOR = 1e-6, 1e-5
@@ -28,29 +29,6 @@ def generator(*key) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, key)).encode()).digest()[:8], "big"))
 
 
-def gamma(model: ExponentialMapMatchingModel, d: np.ndarray, dt: float) -> np.ndarray:
-    p = min(max(math.exp(-model.zero_dist_prob_neg_exponent * dt), MIN_ZERO_PROB), MAX_ZERO_PROB)
-    return np.where(d > ZERO, (1 - p) * model.lambda_speed * np.exp(-model.lambda_speed * d / dt) / dt, p)
-
-
-def gamma_gradient(model: ExponentialMapMatchingModel, d: np.ndarray, dt: float) -> np.ndarray:
-    """Two rows: by the exponent of not moving, and by the speed's rate."""
-    p = min(max(math.exp(-model.zero_dist_prob_neg_exponent * dt), MIN_ZERO_PROB), MAX_ZERO_PROB)
-    fade = np.exp(-model.lambda_speed * d / dt)
-    moved = d > ZERO
-    return np.stack([p * np.where(moved, model.lambda_speed * fade, -dt), np.where(moved, (1 - p) * fade / dt * (1 - model.lambda_speed * d / dt), 0.0)])
-
-
-def deviation(model, px, py, x, y, d) -> np.ndarray:
-    return np.exp(-(model.deviation_beta or 0.0) * np.abs(np.hypot(x - px, y - py) - d))
-
-
-def likelihood(model, x, y, ox, oy) -> np.ndarray:
-    square = (x - ox) ** 2 + (y - oy) ** 2
-    out = np.exp(-0.5 * square / model.gps_sd**2)
-    return out if math.isinf(model.likelihood_d_truncate) else out * (square < model.likelihood_d_truncate**2)
-
-
 class Network:
     """Edges, each with its points (x, y), with grids, followers and cached routes."""
 
@@ -224,11 +202,11 @@ def _sums(net: Network, model, step: Step, own, found, dt: float, gradients: boo
     """The prior's sum over a position's candidates, and those of its gradients if asked for."""
     _, _, _, _, x, y, d = found
     px, py = step.x[own[0]], step.y[own[0]]
-    dev = deviation(model, px, py, x, y, d)
-    prior = gamma(model, d, dt) * dev
+    dev = model.deviation_values(px, py, x, y, d)
+    prior = model.prior_values(d, dt) * dev
     if not gradients:
         return prior.sum(), None
-    slope = gamma_gradient(model, d, dt) * dev
+    slope = model.prior_slopes(d, dt) * dev
     return prior.sum(), [slope[0].sum(), slope[1].sum(), -(np.abs(np.hypot(x - px, y - py) - d) * prior).sum()]
 
 
@@ -245,13 +223,13 @@ def propose(net: Network, model, step: Step, ox: float, oy: float, dt: float, rn
         for again in (False, True):
             found = net.candidates(e, a, far, cutoff)
             routes, number, edge, alpha, x, y, d = found
-            prior = gamma(model, d, dt) * deviation(model, px, py, x, y, d)
+            prior = model.prior_values(d, dt) * model.deviation_values(px, py, x, y, d)
             if not again:
                 sums = _sums(net, model, step, own, found, dt, gradients)
                 step.z[own] = sums[0]
                 if gradients:
                     step.slopes[own] = sums[1]
-            mass = prior * likelihood(model, x, y, ox, oy)
+            mass = prior * model.likelihood_values(x, y, ox, oy)
             total = mass.sum()
             if again or total <= FLOOR or not (mass[d > crowded[0] * far].sum() > crowded[1] * total and d.max() > crowded[0] * far):
                 break
@@ -267,29 +245,48 @@ def propose(net: Network, model, step: Step, ox: float, oy: float, dt: float, rn
     return new
 
 
-def advance(net, model, step: Step, ox, oy, dt, rng, threshold: float = 1.0, **how) -> tuple[Step, float]:
+def normalise(net, model, step: Step, rows: np.ndarray, dt: float, d_max=None, cutoff=None, gradients: bool = False, **_) -> None:
+    """Sets step.z, and step.slopes if gradients are asked for, of the rows."""
+    n = len(step.edge)
+    step.z = np.zeros(n) if step.z is None else step.z
+    step.slopes = np.zeros((n, 3)) if gradients and step.slopes is None else step.slopes
+    d_max, cutoff = _limits(model, dt, d_max, cutoff)
+    for own, e, a in _positions(step, rows):
+        sums = _sums(net, model, step, own, net.candidates(e, a, d_max, cutoff), dt, gradients)
+        step.z[own] = sums[0]
+        if gradients:
+            step.slopes[own] = sums[1]
+
+
+def proposed(net, model, step: Step, ox, oy, dt, rng, proposal: Callable, how: dict) -> Step:
+    """What the proposal gives; normalisers that it doesn't set itself are added."""
+    new = proposal(net, model, step, ox, oy, dt, rng, **how)
+    if step.z is None or (how.get("gradients") and step.slopes is None):
+        normalise(net, model, step, np.arange(len(step.edge)), dt, **how)
+    return new
+
+
+def advance(net, model, step: Step, ox, oy, dt, rng, threshold: float = 1.0, proposal: Callable = propose, **how) -> tuple[Step, float]:
     """One step of the filter: resample if the effective size is under threshold * n, propose, weigh. The step
-    given stays as it was but for its z. Failing particles keep weight 0; all failing ends the match."""
+    given stays as it was but for its z. Failing particles keep weight 0; all failing ends the match.
+
+    A `proposal` of one's own takes what `propose` takes and gives the particles' next places, each with the weight
+    prior * likelihood / proposal's density; it may set step.z, the prior's sums, if it has them anyway.
+    """
     n = len(step.edge)
     if ess(step.weight) < threshold * n - 1e-9:
         parents = draw(rng, step.weight, n)
         base = step.take(parents)
-        probe = propose(net, model, base, ox, oy, dt, rng, **how)
+        probe = proposed(net, model, base, ox, oy, dt, rng, proposal, how)
         step.z, step.slopes = np.zeros(n), None if base.slopes is None else np.zeros((n, 3))
         step.z[parents] = base.z
         if base.slopes is not None:
             step.slopes[parents] = base.slopes
         # Ancestors that weren't drawn need their normalisers as well.
-        lost = np.setdiff1d(np.arange(n), parents)
-        d_max, cutoff = _limits(model, dt, how.get("d_max"), how.get("cutoff"))
-        for own, e, a in _positions(step, lost):
-            sums = _sums(net, model, step, own, net.candidates(e, a, d_max, cutoff), dt, how.get("gradients", False))
-            step.z[own] = sums[0]
-            if base.slopes is not None:
-                step.slopes[own] = sums[1]
+        normalise(net, model, step, np.setdiff1d(np.arange(n), parents), dt, **how)
         weight = probe.weight
     else:
-        probe = propose(net, model, step, ox, oy, dt, rng, **how)
+        probe = proposed(net, model, step, ox, oy, dt, rng, proposal, how)
         weight = probe.weight * step.weight
     if not weight.sum() > 0:
         raise MatchFailed("FAILED_ZERO_WEIGHT")
@@ -320,7 +317,7 @@ def backward(net, model, steps: list[Step], rng) -> list[Step]:
             d = nxt.d[own, None] + np.round((alpha0[own, None] - now.alpha[None, k]) * net.length[e], 5)
             fits = (d >= -ZERO) & (~single[own, None] | (now.alpha[None, k] <= nxt.alpha[own, None] + OVERTAKE))
             d = np.maximum(d, 0.0)
-            w = base[None, k] * gamma(model, d, nxt.dt) * deviation(model, now.x[None, k], now.y[None, k], nxt.x[own, None], nxt.y[own, None], d)
+            w = base[None, k] * model.prior_values(d, nxt.dt) * model.deviation_values(now.x[None, k], now.y[None, k], nxt.x[own, None], nxt.y[own, None], d)
             c, good = _draw_rows(np.where(fits, w, 0.0), uniform[own])
             chosen[own], d_new[own], ok[own] = k[c], d[np.arange(len(own)), c], good
         if not ok.any():
@@ -356,7 +353,7 @@ def stitch(net, model, fixed: Step, new: list[Step], weights: np.ndarray, rng, z
     """
     n = len(fixed.edge)
     first, after = new[0], new[1]
-    own = gamma(model, after.d, after.dt) * deviation(model, first.x, first.y, after.x, after.y, after.d)
+    own = model.prior_values(after.d, after.dt) * model.deviation_values(first.x, first.y, after.x, after.y, after.d)
     z = first.z if first.z is not None else np.ones(len(weights))
     bottom = own * np.power(np.maximum(z, FLOOR), -z_power)
     adjusted = np.where((bottom > LEAST_PRIOR) & (z > LEAST_PRIOR), weights / np.maximum(bottom, FLOOR), 0.0)
@@ -375,7 +372,7 @@ def stitch(net, model, fixed: Step, new: list[Step], weights: np.ndarray, rng, z
         # Where no path that fits has a weight of its own, all of them count alike.
         weight = np.where(fits, adjusted[None, k], 0.0)
         weight = np.where(weight.sum(1, keepdims=True) > 0, weight, fits)
-        w = weight * gamma(model, d, after.dt) * deviation(model, fixed.x[own, None], fixed.y[own, None], after.x[None, k], after.y[None, k], d)
+        w = weight * model.prior_values(d, after.dt) * model.deviation_values(fixed.x[own, None], fixed.y[own, None], after.x[None, k], after.y[None, k], d)
         c, good = _draw_rows(w, uniform[own])
         pick[own], dist[own], ok[own] = k[c], d[np.arange(len(own)), c], good
     idx = np.arange(n)
@@ -403,14 +400,14 @@ def start_online(net, model, ox, oy, n, rng, reach=None) -> Online:
     return Online([step], [step], 1, float(n))
 
 
-def update(net, model, state: Online, ox, oy, dt, rng, mode: str = "BSi", lag: int | None = 3, threshold: float = 1.0, keep: bool = True, **how) -> Online:
+def update(net, model, state: Online, ox, oy, dt, rng, mode: str = "BSi", lag: int | None = 3, threshold: float = 1.0, keep: bool = True, proposal: Callable = propose, **how) -> Online:
     """One observation more. `PF`, or lag 0, stitches the filter's own trajectories, `BSi` those of backward
     simulation over the last lag + 1 observations. With keep False steps before the lag are let go."""
     if mode not in ("PF", "BSi"):
         raise ValueError(f"update must be PF or BSi, not {mode}")
     if mode == "PF" or lag == 0:
-        return _update_filter(net, model, state, ox, oy, dt, rng, lag, keep, how)
-    new, size = advance(net, model, state.window[-1], ox, oy, dt, rng, threshold, **how)
+        return _update_filter(net, model, state, ox, oy, dt, rng, lag, keep, proposal, how)
+    new, size = advance(net, model, state.window[-1], ox, oy, dt, rng, threshold, proposal, **how)
     window = [*state.window, new][-(lag + 1) :]
     drawn = backward(net, model, window, rng)
     seen = state.seen + 1
@@ -434,9 +431,9 @@ def _joined(fixed, drawn, idx, pick, dist, lag, keep) -> list[Step]:
     return track if keep else track[-(lag + 1) :]
 
 
-def _update_filter(net, model, state: Online, ox, oy, dt, rng, lag, keep, how) -> Online:
+def _update_filter(net, model, state: Online, ox, oy, dt, rng, lag, keep, proposal, how) -> Online:
     last = state.track[-1]
-    new = propose(net, model, last, ox, oy, dt, rng, **how)
+    new = proposed(net, model, last, ox, oy, dt, rng, proposal, how)
     if not new.weight.sum() > 0:
         raise MatchFailed("FAILED_ZERO_WEIGHT")
     weight = new.weight / new.weight.sum()

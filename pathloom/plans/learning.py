@@ -32,9 +32,9 @@ def statistics(obs: DataFrame, table: DataFrame, model: ExponentialMapMatchingMo
             return pd.DataFrame([none | {"status": str(why)}])
         sums, all_d, all_dt = np.zeros(3), [], []
         for before, now in zip(drawn[:-1], drawn[1:]):
-            g = engine.gamma(model, now.d, now.dt)
+            g = model.prior_values(now.d, now.dt)
             dev = np.abs(np.hypot(now.x - before.x, now.y - before.y) - now.d)
-            slope = engine.gamma_gradient(model, now.d, now.dt) / g
+            slope = model.prior_slopes(now.d, now.dt) / g
             mean = before.slopes / np.maximum(before.z, engine.FLOOR)[:, None]
             sums += [(slope[0] - mean[:, 0]).sum(), (slope[1] - mean[:, 1]).sum(), (-dev - mean[:, 2]).sum()]
             if distances:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.model import ExponentialMapMatchingModel
+from pathloom.functions.model import MapMatchingModel
 from pathloom.plans import engine
 from pathloom.sources.network import EDGE, EDGES_AT_MOST, collected
 
@@ -121,12 +121,12 @@ def smooth(net, model, pdf, particles: int, seed, threshold: float, reach=None,
     return engine.backward(net, model, steps, engine.generator(seed, traj, "backward")), steps, sizes
 
 
-def offline_map_match(obs: DataFrame, table: DataFrame, model: ExponentialMapMatchingModel, particles: int = 100, seed: int = 0, refine: float = 1.0, threshold: float = 1.0, reach: float | None = None, most: int = NETWORK_EDGES) -> DataFrame:
-    """Smoothed particles of every trajectory in obs (traj_id, obs_idx, t, dt, x, y)."""
+def offline_map_match(obs: DataFrame, table: DataFrame, model: MapMatchingModel, particles: int = 100, seed: int = 0, refine: float = 1.0, threshold: float = 1.0, reach: float | None = None, most: int = NETWORK_EDGES, proposal: Callable = engine.propose) -> DataFrame:
+    """Smoothed particles of every trajectory in obs (traj_id, obs_idx, t, dt, x, y). `proposal` as in `engine.advance`."""
 
     def work(net, pdf):
         try:
-            drawn, _, sizes = smooth(net, model, pdf, particles, seed, threshold, reach)
+            drawn, _, sizes = smooth(net, model, pdf, particles, seed, threshold, reach, proposal=proposal)
         except engine.MatchFailed as why:
             return failed(pdf["traj_id"].iloc[0], str(why))
         return rows_of(net, pdf["traj_id"].iloc[0], drawn, pdf["t"].tolist(), sizes)
@@ -134,7 +134,7 @@ def offline_map_match(obs: DataFrame, table: DataFrame, model: ExponentialMapMat
     return per_trajectory(obs, table, work, PATHS, refine, model, most)
 
 
-def online_replay(obs: DataFrame, table: DataFrame, model: ExponentialMapMatchingModel, particles: int = 100, update: str = "BSi", lag: int | None = 3, seed: int = 0, refine: float = 1.0, reach: float | None = None) -> DataFrame:
+def online_replay(obs: DataFrame, table: DataFrame, model: MapMatchingModel, particles: int = 100, update: str = "BSi", lag: int | None = 3, seed: int = 0, refine: float = 1.0, reach: float | None = None, proposal: Callable = engine.propose) -> DataFrame:
     """The online algorithm over whole trajectories, with the same draws as the stream."""
     if update not in UPDATES:
         raise ValueError(f"update must be one of {UPDATES}, not {update}")
@@ -145,7 +145,7 @@ def online_replay(obs: DataFrame, table: DataFrame, model: ExponentialMapMatchin
             state, sizes = None, []
             for i, (x, y, dt) in enumerate(zip(pdf["x"], pdf["y"], pdf["dt"])):
                 rng = engine.generator(seed, traj, "online", i)
-                state = engine.start_online(net, model, x, y, particles, rng, reach) if state is None else engine.update(net, model, state, x, y, float(dt), rng, update, lag)
+                state = engine.start_online(net, model, x, y, particles, rng, reach) if state is None else engine.update(net, model, state, x, y, float(dt), rng, update, lag, proposal=proposal)
                 sizes.append(state.last_ess)
         except engine.MatchFailed as why:
             return failed(traj, str(why))

@@ -47,7 +47,7 @@ def sampled_routes(table: DataFrame, trajectories: int, observations: int, model
                 dt = gaps[n - 1]
                 t += dt
                 routes, number, edge, a, x, y, dist = net.candidates(place[0], place[1], model.max_speed * dt, cutoff or max(int(dt / 1.5), 10))
-                c = engine.draw(rng, engine.gamma(model, dist, dt) * engine.deviation(model, place[2], place[3], x, y, dist), 1)[0]
+                c = engine.draw(rng, model.prior_values(dist, dt) * model.deviation_values(place[2], place[3], x, y, dist), 1)[0]
                 d, route, place = float(dist[c]), routes[number[c]], (int(edge[c]), a[c], x[c], y[c])
             noise = rng.normal(0.0, model.gps_sd, 2)
             u, v, k = net.edges[place[0]]

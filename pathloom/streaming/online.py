@@ -12,7 +12,7 @@ import pickle
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pathloom.functions.model import ExponentialMapMatchingModel
+from pathloom.functions.model import MapMatchingModel
 from pathloom.plans import engine
 from pathloom.plans.matching import UPDATES, network, shipped
 from pathloom.sources.network import EDGE
@@ -21,7 +21,7 @@ OUT = "traj_id long, particle_id int, obs_idx int, t double, u long, v long, k i
 STATE = "state binary, seen long, last_t double, late long"
 
 
-def match_stream(obs: DataFrame, table: DataFrame, model: ExponentialMapMatchingModel, particles: int = 100, update: str = "BSi", lag: int = 3, seed: int = 0, refine: float = 1.0, reach=None, idle_ms: int | None = None) -> DataFrame:
+def match_stream(obs: DataFrame, table: DataFrame, model: MapMatchingModel, particles: int = 100, update: str = "BSi", lag: int = 3, seed: int = 0, refine: float = 1.0, reach=None, idle_ms: int | None = None, proposal=engine.propose) -> DataFrame:
     """From a stream (traj_id, obs_idx, t, x, y): after each micro-batch the particles of the trajectories
     that got observations, with `final` for rows older than the lag, each of which is told once.
 
@@ -65,7 +65,7 @@ def match_stream(obs: DataFrame, table: DataFrame, model: ExponentialMapMatching
                 if state is None:
                     state = engine.start_online(net, model, x, y, particles, rng, reach)
                 else:
-                    state = engine.update(net, model, state, x, y, t - last, rng, update, lag, keep=False)
+                    state = engine.update(net, model, state, x, y, t - last, rng, update, lag, keep=False, proposal=proposal)
             except engine.MatchFailed as why:
                 out.append(pd.DataFrame([dict.fromkeys([c.split()[0] for c in OUT.split(", ")]) | {"traj_id": traj, "obs_idx": seen, "t": t, "final": True, "late": late, "status": str(why)}]))
                 state = None

@@ -1,9 +1,11 @@
 """The numpy engine against exact smoothing on a small lattice, and its invariants."""
 
+from dataclasses import dataclass
+
 import numpy as np
 import pytest
 
-from pathloom.functions.model import ExponentialMapMatchingModel
+from pathloom.functions.model import ZERO, ExponentialMapMatchingModel
 from pathloom.plans import engine
 
 MODEL = ExponentialMapMatchingModel(gps_sd=15.0, max_speed=12.0)
@@ -26,17 +28,21 @@ def lattice(size=3):
 
 @pytest.fixture(scope="module")
 def exact():
+    return exact_for(MODEL)
+
+
+def exact_for(model):
     """Marginals of edges at each observation, by the forward and backward sums over all places."""
     net = lattice()
     states = [(e, a, x, y) for e in range(len(net.edges)) for a, x, y in zip(*net.grid(e)[:3])]
     index = {(e, round(a, 9)): i for i, (e, a, _, _) in enumerate(states)}
     move = np.zeros((len(states),) * 2)
     for i, (e, a, x, y) in enumerate(states):
-        _, _, edge, alpha, xx, yy, d = net.candidates(e, a, MODEL.max_speed * DT, 10)
-        prior = engine.gamma(MODEL, d, DT) * engine.deviation(MODEL, x, y, xx, yy, d)
+        _, _, edge, alpha, xx, yy, d = net.candidates(e, a, model.max_speed * DT, 10)
+        prior = model.prior_values(d, DT) * model.deviation_values(x, y, xx, yy, d)
         for e2, a2, p in zip(edge, alpha, prior / prior.sum()):
             move[i, index[e2, round(a2, 9)]] += p
-    like = [np.array([float(engine.likelihood(MODEL, x, y, *o)) for _, _, x, y in states]) for o in OBS]
+    like = [np.array([float(model.likelihood_values(x, y, *o)) for _, _, x, y in states]) for o in OBS]
     near = np.array([np.hypot(x - OBS[0][0], y - OBS[0][1]) < REACH for _, _, x, y in states])
     ahead = [like[0] * near]
     for lk in like[1:]:
@@ -116,3 +122,67 @@ def test_failures_have_a_status():
         engine.advance(net, MODEL, step, 9e9, 0, DT, engine.generator(0))
     with pytest.raises(ValueError):
         engine.update(net, MODEL, engine.Online([step], [step]), 0, 0, DT, engine.generator(0), "other")
+
+
+@dataclass(frozen=True)
+class SteadySpeed(ExponentialMapMatchingModel):
+    """Another law: speeds are near five metres a second."""
+
+    def prior_values(self, d, dt):
+        return np.where(d > ZERO, np.exp(-0.5 * (d / dt - 5.0) ** 2), 1e-3)
+
+
+def smoothed(net, model, name, **how):
+    runs = []
+    for rep in range(40):
+        rng = engine.generator(name, rep)
+        steps = [engine.initiate(net, model, *OBS[0], 300, rng, REACH)]
+        for o in OBS[1:]:
+            steps.append(engine.advance(net, model, steps[-1], *o, DT, rng, **how)[0])
+        runs.append(engine.backward(net, model, steps, rng))
+    return runs
+
+
+def test_a_models_own_law_decides_the_posterior(exact):
+    model = SteadySpeed(gps_sd=60.0, max_speed=12.0)
+    net, want = exact_for(model)
+    runs = smoothed(net, model, "law")
+    assert distance(runs, want, net) < 0.06
+    assert distance(runs, exact_for(ExponentialMapMatchingModel(gps_sd=60.0, max_speed=12.0))[1], net) > 0.1
+
+
+def bootstrap(net, model, step, ox, oy, dt, rng, **how):
+    """Draws from the prior alone and weighs by the likelihood; sets no normalisers."""
+    n = len(step.edge)
+    places, routes, weight = np.zeros((n, 5)), np.empty(n, object), np.zeros(n)
+    for i in range(n):
+        all_routes, number, edge, alpha, x, y, d = net.candidates(int(step.edge[i]), step.alpha[i], model.max_speed * dt, 10)
+        c = engine.draw(rng, model.prior_values(d, dt) * model.deviation_values(step.x[i], step.y[i], x, y, d), 1)[0]
+        places[i], routes[i], weight[i] = (edge[c], alpha[c], x[c], y[c], d[c]), all_routes[number[c]], model.likelihood_values(x[c], y[c], ox, oy)
+    return engine.Step(places[:, 0].astype(int), *places[:, 1:].T, routes, dt, weight)
+
+
+def test_a_proposal_of_ones_own_gives_the_same_posterior():
+    model = ExponentialMapMatchingModel(gps_sd=40.0, max_speed=12.0)
+    net, want = exact_for(model)
+    runs = smoothed(net, model, "bootstrap", proposal=bootstrap)
+    assert distance(runs, want, net) < 0.1
+
+
+def test_online_takes_a_proposal_of_ones_own():
+    net, calls = lattice(), []
+
+    def counted(*args, **how):
+        calls.append(1)
+        return engine.propose(*args, **how)
+
+    for mode in ("PF", "BSi"):
+        states = []
+        for proposal in (engine.propose, counted):
+            rng = engine.generator(mode)
+            state = engine.start_online(net, MODEL, *OBS[0], 50, rng, REACH)
+            for o in OBS[1:]:
+                state = engine.update(net, MODEL, state, *o, DT, rng, mode, 2, proposal=proposal)
+            states.append(state)
+        assert all((a.edge == b.edge).all() and (a.alpha == b.alpha).all() for a, b in zip(states[0].track, states[1].track))
+    assert len(calls) == 2 * (len(OBS) - 1)
